@@ -4,8 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality_rules, url_filter
-from corpusloom.llm._text import table
+from pyspark.sql import functions as F
+
+from corpusloom.llm import language_id, quality_ranker, quality_rules, toxicity, url_filter
+from corpusloom.llm._text import fold, table
+
+
+def op1_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_ranker.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    scored = quality_ranker.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"),
+    )
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +51,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), OP6_RULES, url_filter.fit(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_ambiguous")
+
+
 QUERIES = {
+    "op1_quality_ranker": op1_quality_ranker,
+    "op2_toxicity": op2_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
+    "op9_language_id": op9_language_id,
 }
