@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, quality_ranker, quality_rules, toxicity, url_filter
+from corpusloom.llm import language_id, quality_ranker, quality_rules, simhash, toxicity, url_filter
 from corpusloom.llm._text import fold, table
 
 
@@ -34,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -61,6 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_ranker": op1_quality_ranker,
     "op2_toxicity": op2_toxicity,
+    "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op9_language_id": op9_language_id,
