@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, quality_ranker, quality_rules, simhash, toxicity, url_filter
+from corpusloom.llm import language_id, packing, quality_ranker, quality_rules, simhash, topk_search, toxicity, url_filter
 from corpusloom.llm._text import fold, table
 
 
@@ -55,6 +58,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), OP6_RULES, url_filter.fit(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    return packing.pack(table(spark, sf_dir, "documents"), definition).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_search.quantised(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
@@ -68,5 +81,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
+    "op7_packing": op7_packing,
+    "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
 }
