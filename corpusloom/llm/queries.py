@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, packing, quality_ranker, quality_rules, simhash, topk_search, toxicity, url_filter
+from corpusloom.llm import language_id, packing, quality_ranker, quality_rules, sentencepiece_wfst, simhash, topk_search, toxicity, url_filter
 from corpusloom.llm._text import fold, table
 
 
@@ -75,6 +75,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_ambiguous")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), model, ids=False, digest=True)
+
+
 QUERIES = {
     "op1_quality_ranker": op1_quality_ranker,
     "op2_toxicity": op2_toxicity,
@@ -84,4 +89,5 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
+    "op10_sentencepiece": op10_sentencepiece,
 }
