@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, packing, quality_ranker, quality_rules, sentencepiece_wfst, simhash, topk_search, toxicity, url_filter
+from corpusloom.llm import language_id, line_dedup, packing, quality_ranker, quality_rules, sentencepiece_wfst, simhash, topk_search, toxicity, url_filter
 from corpusloom.llm._text import fold, table
 
 
@@ -41,6 +41,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_removed", "removed_chars", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_quality_ranker": op1_quality_ranker,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
