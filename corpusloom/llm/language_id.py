@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._models import sample_per_class
+from corpusloom.llm._text import fresh
 
 DIM = 1 << 12
 UNDETERMINED = "und"
@@ -127,14 +128,16 @@ def fit(docs: DataFrame, per_class: int = 500) -> LanguageModel | None:
     return fit_codes(x, np.array([languages.index(lang) for lang, _ in got]), languages)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ambiguous_below: float = 0.1, chunk: int = 256) -> DataFrame:
-    """``keep``, lang_pred, lang_score and lang_ambiguous of every row."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_ambiguous", "boolean")
+def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ambiguous_below: float = 0.1, chunk: int = 256, suffix: str = "") -> DataFrame:
+    """``keep``, lang_pred, lang_score and lang_ambiguous (with ``suffix``) of every row."""
+    own = fresh(docs, "_text")
+    kept = docs.select(*keep, F.col(text).alias(own))
+    names = [f"{n}{suffix}" for n in ("lang_pred", "lang_score", "lang_ambiguous")]
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("_text").to_pylist()
+            texts = b.column(own).to_pylist()
             lang, score, unsure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             found = [i for i, t in enumerate(texts) if model and has_letter(t)]
             for at in range(0, len(found), chunk):
@@ -144,7 +147,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]
                     lang[i], score[i], unsure[i] = model.languages[k], float(s), bool(g < ambiguous_below)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
-                [*b.schema.names[:-1], "lang_pred", "lang_score", "lang_ambiguous"],
+                [*b.schema.names[:-1], *names],
             )
 
     return kept.mapInArrow(run, schema)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._text import fresh
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -228,7 +230,8 @@ def _transducer(data: bytes) -> Transducer:
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = 128, ids: bool = True, digest: bool = False) -> DataFrame:
     """``keep`` and, of every row: ids (array<int>) if asked for; with ``digest`` n_ids, ids_crc32 (of little-endian
     32-bit ids) and round_trip (whether decoding the ids gives the text; null for a null text)."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    own = fresh(docs, "_text")
+    kept = docs.select(*keep, F.col(text).alias(own))
     schema = docs.select(*keep).schema
     if ids:
         schema = schema.add("ids", "array<int>")
@@ -240,7 +243,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, .
         for whole in batches:
             for at in range(0, whole.num_rows, chunk):
                 b = whole.slice(at, chunk)
-                texts = b.column("_text").to_pylist()
+                texts = b.column(own).to_pylist()
                 found = [fst.encode(t) for t in texts]
                 columns = list(b.columns[:-1])
                 if ids:
@@ -257,7 +260,8 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, .
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), chunk: int = 128) -> DataFrame:
     """``keep`` and text of every row of ``encoded``; null ids give a null text."""
-    kept = encoded.select(*keep, F.col(ids).alias("_ids"))
+    own = fresh(encoded, "_ids")
+    kept = encoded.select(*keep, F.col(ids).alias(own))
     schema = encoded.select(*keep).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +269,7 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str,
         for whole in batches:
             for at in range(0, whole.num_rows, chunk):
                 b = whole.slice(at, chunk)
-                texts = [None if x is None else fst.decode(np.array(x, "<u4").tobytes()) for x in b.column("_ids").to_pylist()]
+                texts = [None if x is None else fst.decode(np.array(x, "<u4").tobytes()) for x in b.column(own).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], schema.fieldNames())
 
     return kept.mapInArrow(run, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._models import sample_per_class
+from corpusloom.llm._text import fresh
 
 # Look-alikes and the Latin letter that each stands for.
 HOMOGLYPHS = {
@@ -232,6 +233,7 @@ def _measures(model: ToxicModel, keep: tuple[str, ...], text: str = "text", scor
 
 def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, toxic_sum (weights of the matches) and toxic_score (0 to 1) of every row."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    own = fresh(docs, "_text")
+    kept = docs.select(*keep, F.col(text).alias(own))
     schema = docs.select(*keep).schema.add("toxic_sum", "double").add("toxic_score", "double")
-    return kept.mapInArrow(_measures(model, keep, "_text", scored=True), schema)
+    return kept.mapInArrow(_measures(model, keep, own, scored=True), schema)
