@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusloom.llm._text import fresh
 
@@ -234,9 +235,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, .
     kept = docs.select(*keep, F.col(text).alias(own))
     schema = docs.select(*keep).schema
     if ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     if digest:
-        schema = schema.add("n_ids", "bigint").add("ids_crc32", "bigint").add("round_trip", "boolean")
+        schema = schema.add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _transducer(model)
