@@ -20,6 +20,7 @@ rows are packed as they come; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ from corpusloom.llm._text import stored
 
 END_ID = 1
 WINDOW = 2048
+#: Rows of about 40 bytes.
+MOST_BROADCAST = 250_000
 
 # The pattern and the normaliser of the word tokenizer for which words may be encoded one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,21 +56,33 @@ class WordEncoder:
     ids of a text are those of its words in a row. Other texts, and other tokenizers, take the library's way.
     """
 
-    def __init__(self, definition: str, most_words: int = 300_000):
-        import json
-
+    def __init__(self, definition: str, most_words: int = 400_000):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(definition)
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
         self.by_word = (pre[0].get("pattern") or {}).get("Regex") == WORD_PATTERN and kinds == NORMALISERS and pre[0].get("behavior") == "Removed"
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and piece.endswith(suffix)
         self.words: dict[str, bytes] = {}
         self.most_words = most_words
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each pre-token: many are encoded as one text and cut after the pieces that end a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return self._library(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = [b""] * len(texts)
@@ -83,8 +98,8 @@ class WordEncoder:
         if len(self.words) + len(new) > self.most_words:
             self.words.clear()
             new = list(set().union(*(w for _, w in plain)))
-        for k in range(0, len(new), 4096):
-            self.words.update(zip(new[k : k + 4096], self._library(new[k : k + 4096]), strict=True))
+        for k in range(0, len(new), 1000):
+            self.words.update(zip(new[k : k + 1000], self._words(new[k : k + 1000]), strict=True))
         get = self.words.__getitem__
         for i, words in plain:
             out[i] = b"".join(map(get, words))
@@ -97,8 +112,18 @@ def _encoder(definition: str) -> WordEncoder:
     return WordEncoder(definition)
 
 
+@lru_cache(maxsize=2)
+def _id_kind(definition: str, end_id: int) -> str:
+    top = max(Tokenizer.from_str(definition).get_vocab().values(), default=0)
+    return "<u2" if max(top, end_id) < 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, definition: str, end_id: int = END_ID, text: str = "text", source: str = "source", chunk: int = 128) -> DataFrame:
-    """doc_id, source, task, local (tokens of that source before it in that task), n and ids (little-endian 32-bit) of every row."""
+    """doc_id, source, task, local (tokens of that source before it in that task), n and ids of every row.
+
+    Ids are little-endian, of 16 bits if the vocabulary allows and else of 32 (:func:`_id_kind`).
+    """
+    kind = _id_kind(definition, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _encoder(definition), TaskContext.get().partitionId()
@@ -107,12 +132,15 @@ def tokenised(docs: DataFrame, definition: str, end_id: int = END_ID, text: str
             for at in range(0, whole.num_rows, chunk):
                 b = whole.slice(at, chunk)
                 ids = [x + end for x in encoder.encode(b.column("_text").to_pylist())]
+                sizes = [len(x) // 4 for x in ids]
+                if kind != "<u4":
+                    ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
                 local = []
-                for s, x in zip(b.column("source").to_pylist(), ids, strict=True):
+                for s, n in zip(b.column("source").to_pylist(), sizes, strict=True):
                     local.append(sums.get(s, 0))
-                    sums[s] = local[-1] + len(x) // 4
+                    sums[s] = local[-1] + n
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("source"), pa.array([task] * len(ids), pa.int32()), pa.array(local, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [b.column("doc_id"), b.column("source"), pa.array([task] * len(ids), pa.int32()), pa.array(local, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "source", "task", "local", "n", "ids"],
                 )
 
@@ -163,6 +191,7 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, end_id: int = E
     by_task = tokens.groupBy("source", "task").agg(F.sum("n").alias("n"))
     by_source = by_task.groupBy("source").agg(F.sum("n").alias("n"))
     total = by_source.agg(F.sum("n")).first()[0] or 0
+    n_bases = by_task.count()
     least = -(-4 * total // window)
     # At most window / 4 sources are that large.
     large = sorted(((r["source"], r["n"]) for r in by_source.where(F.col("n") >= max(1, least)).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
@@ -185,7 +214,7 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, end_id: int = E
     buckets = placed.groupBy("queue", "bucket").agg(F.sum("n").alias("m"))
     lower = buckets.select("queue", "bucket", F.coalesce(F.sum("m").over(W.partitionBy("queue").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("lower"))
     bases = placed.withColumn("within", before).join(lower, ["queue", "bucket"]).select(F.col("source").alias("_s"), F.col("task").alias("_t"), "queue", (F.col("within") + F.col("lower")).alias("base"))
-    mixture = Mixture(totals, window)
+    mixture, kind = Mixture(totals, window), _id_kind(definition, end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -194,7 +223,8 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, end_id: int = E
                 b = whole.slice(at, 256).to_pydict()
                 rows: list[tuple] = []
                 parts: list[bytes] = []
-                for doc, src, n, ids, q, pos in zip(b["doc_id"], b["source"], b["n"], b["ids"], b["queue"], b["position"], strict=True):
+                for doc, src, n, raw, q, pos in zip(b["doc_id"], b["source"], b["n"], b["ids"], b["queue"], b["position"], strict=True):
+                    ids = np.frombuffer(raw, kind).astype("<u4").tobytes()
                     for start, size, seq, off in mixture.pieces(q, pos, n):
                         parts.append(ids[4 * start : 4 * (start + size)])
                         rows.append((doc, src, start, size, zlib.crc32(parts[-1]), n, seq, off))
@@ -206,7 +236,9 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, end_id: int = E
                     [pa.array(doc, i64), pa.array(src, pa.string()), pa.array(start, i64), pa.array(size, i64), arrays, pa.array(crc, i64), pa.array(n, i64), pa.array(seq, i64), pa.array(off, i64)], names
                 )
 
-    # A few rows for each task and source; Spark broadcasts them while they are small and shuffles otherwise.
+    # A row for each task and source: broadcast while their number, just counted, is small; else a shuffle.
+    if n_bases <= MOST_BROADCAST:
+        bases = F.broadcast(bases)
     joined = tokens.join(bases, F.col("source").eqNullSafe(F.col("_s")) & (F.col("task") == F.col("_t")))
     ready = joined.select("doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("local")).alias("position"))
     return ready.mapInArrow(cut, "doc_id bigint, source string, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
