@@ -1,10 +1,20 @@
-"""Access to the named Parquet tables of one data directory."""
+"""Access to the named Parquet tables of one data directory, and the end of long lineages."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read ``{sf_dir}/{name}.parquet`` (a file or a folder of part files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+    return df.checkpoint()
