@@ -187,7 +187,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = issues(spark, sf_dir)
     w = W.partitionBy("project").orderBy("doc_id")
     tails = F.array(F.lag("key", 1).over(w), F.lag("key", 2).over(w), F.lead("key", 1).over(w))
-    near = all_.select("doc_id", F.col("key").alias("head"), F.lit("precedes").alias("relation"), F.explode(tails).alias("tail")).where("tail is not null")
+    near = all_.select("doc_id", "key", tails.alias("t")).select("doc_id", F.col("key").alias("head"), F.lit("precedes").alias("relation"), F.explode("t").alias("tail")).where("tail is not null")
     hashed = all_.select("doc_id", "key", F.sha2(T.casefold("body"), 256).alias("h"))
     first = hashed.groupBy("h").agg(F.min(F.struct("doc_id", "key")).alias("f"))
     copies = hashed.join(first, "h").select("doc_id", F.col("key").alias("head"), F.lit("copies").alias("relation"), F.col("f.key").alias("tail")).where("head <> tail")
