@@ -28,7 +28,7 @@ def scan_issues(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows (source_row and the fields) and quarantined ones (source_row, reason, raw_line_hash) of numbered lines."""
     cut = rows.withColumn("p", F.split("value", "\t", -1))
     width = F.size("p")
-    good = cut.where(width == len(ISSUE_FIELDS)).select(F.col("line_no").alias("source_row"), *(F.col("p")[i].alias(n) for i, n in enumerate(ISSUE_FIELDS)))
+    good = cut.where(width == len(ISSUE_FIELDS)).select(F.col("line_no").alias("source_row"), *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(ISSUE_FIELDS)))
     bad = cut.where(width != len(ISSUE_FIELDS)).select(F.col("line_no").alias("source_row"), F.lit("malformed_field_count").alias("reason"), F.sha2(F.concat("value", F.lit("\n")), 256).alias("raw_line_hash"))
     return good, bad
 
@@ -37,7 +37,7 @@ def scan_issues_strict(rows: DataFrame, repository: str) -> DataFrame:
     """key, uid, created and text of every issue; a wrong width is an error; of rows with one key the least (created, source_id, text) stays."""
     cut = rows.withColumn("p", F.split("value", "\t", -1))
     checked = cut.withColumn("p", F.when(F.size("p") == len(ISSUE_FIELDS), F.col("p")).otherwise(F.raise_error(F.concat(F.lit("wrong field count in line "), F.col("line_no").cast("string")))))
-    named = checked.select(*(F.col("p")[i].alias(n) for i, n in enumerate(ISSUE_FIELDS)))
+    named = checked.select(*(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(ISSUE_FIELDS)))
     parts = F.concat_ws("\n", F.when(F.col("title") != "", F.concat(F.lit("Title: "), "title")), F.when(F.col("description") != "", F.concat(F.lit("Description: "), "description")))
     typed = named.select("key", "source_id", lax_timestamp(F.col("created")).alias("created"), parts.alias("text"))
     least = typed.groupBy("key").agg(F.min(F.struct("created", "source_id", "text")).alias("x"))
@@ -59,7 +59,7 @@ def _counted(rows: DataFrame, width: int, what: str) -> DataFrame:
 
 def scan_membership(rows: DataFrame) -> DataFrame:
     """key, source_id and created; dates are strict, equal repeats are one row, unequal ones an error."""
-    named = _counted(rows, 3, "membership").select(F.col("p")[0].alias("key"), F.col("p")[1].alias("source_id"), F.col("p")[2].alias("created"))
+    named = _counted(rows, 3, "membership").select(F.get("p", F.lit(0)).alias("key"), F.get("p", F.lit(1)).alias("source_id"), F.get("p", F.lit(2)).alias("created"))
     bad = named.where((F.col("key") == "") | (F.col("source_id") == "") | strict_timestamp(F.col("created")).isNull()).limit(1).collect()
     if bad:
         raise ValueError(f"membership: invalid row {tuple(bad[0])}")
@@ -76,7 +76,7 @@ def scan_query_heads(rows: DataFrame) -> DataFrame:
 
 def scan_links(rows: DataFrame) -> DataFrame:
     """line_no, head, relation, tail and created of a counted link file; dates are strict."""
-    named = _counted(rows, 4, "links").select("line_no", *(F.col("p")[i].alias(n) for i, n in enumerate(("head", "relation", "tail", "created"))))
+    named = _counted(rows, 4, "links").select("line_no", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("head", "relation", "tail", "created"))))
     bad = named.where(strict_timestamp(F.col("created")).isNull()).limit(1).collect()
     if bad:
         raise ValueError(f"links: invalid date in line {bad[0]['line_no']}")
@@ -91,7 +91,7 @@ def adjacency(links: DataFrame) -> DataFrame:
 def scan_relations(rows: DataFrame) -> DataFrame:
     """name, definition and relation_id after one skipped line; of repeats the last stands."""
     cut = rows.where("line_no > 1").withColumn("p", F.split("value", "\t", -1))
-    named = cut.select("line_no", F.when(F.size("p") == 3, F.col("p")[0]).otherwise(F.raise_error(F.lit("a relation row has not three fields"))).alias("name"), F.col("p")[1].alias("definition"), F.col("p")[2].alias("relation_id"))
+    named = cut.select("line_no", F.when(F.size("p") == 3, F.get("p", F.lit(0))).otherwise(F.raise_error(F.lit("a relation row has not three fields"))).alias("name"), F.get("p", F.lit(1)).alias("definition"), F.get("p", F.lit(2)).alias("relation_id"))
     last = named.groupBy("name").agg(F.max_by(F.struct("definition", "relation_id"), "line_no").alias("x"))
     return last.select("name", "x.definition", "x.relation_id")
 
