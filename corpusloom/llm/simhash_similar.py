@@ -34,6 +34,8 @@ from corpusloom.llm.simhash import fingerprint, linked, shingle_digests
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 20
+#: Ids of 8 bytes.
+MOST_BROADCAST = 1_000_000
 _ODD = np.random.default_rng(42).integers(1 << 62, size=TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -93,9 +95,14 @@ def jaccard(a: bytes, b: bytes) -> float:
     return common / (len(both) - common)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Stored ids, to be broadcast while they are counted to be few; beyond that the join shuffles the texts."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, text: str = "text") -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are similar."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    ids = _few(stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "paired-ids"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
     # Rows that share a doc_id would multiply the pairs.
     sets = stored(_shingle_sets(rows, size).groupBy("id").agg(F.max("set").alias("set")), "shingle-sets")
@@ -139,5 +146,5 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """``docs`` without the documents that are in a group but not its smallest doc_id."""
     own = fresh(docs, "_id")
-    gone = groups(docs, size, similarity, text).where("doc_id <> group_id").select(F.col("doc_id").alias(own))
-    return docs.join(gone, docs["doc_id"] == F.col(own), "left_anti")
+    gone = stored(groups(docs, size, similarity, text).where("doc_id <> group_id").select(F.col("doc_id").alias(own)), "gone-ids")
+    return docs.join(_few(gone), docs["doc_id"] == F.col(own), "left_anti")
