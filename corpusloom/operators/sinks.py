@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +58,11 @@ def write_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
 
-def publish(spark: SparkSession, parts: dict[str, DataFrame], staging: str, targets: dict[str, str], check=None) -> None:
+def publish(spark: SparkSession, parts: dict[str, DataFrame | Callable[[str], None]], staging: str, targets: dict[str, str], check=None) -> None:
     """Write all parts to a staging folder, check them there, then rename each to its target, the last one last.
 
+    A part is a DataFrame, written as Parquet, or a function that writes to the path it is given.
+
     ``check(spark, {name: staged path})`` raises if something is wrong; nothing is published then.
     """
     guard_absent(spark, list(targets.values()))
@@ -67,7 +70,7 @@ def publish(spark: SparkSession, parts: dict[str, DataFrame], staging: str, targ
     staged = {name: f"{root}/{name}" for name in parts}
     try:
         for name, df in parts.items():
-            df.write.parquet(staged[name])
+            df(staged[name]) if callable(df) else df.write.parquet(staged[name])
         if check:
             check(spark, staged)
         for name, target in targets.items():

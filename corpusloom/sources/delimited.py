@@ -91,7 +91,7 @@ def adjacency(links: DataFrame) -> DataFrame:
 def scan_relations(rows: DataFrame) -> DataFrame:
     """name, definition and relation_id after one skipped line; of repeats the last stands."""
     cut = rows.where("line_no > 1").withColumn("p", F.split("value", "\t", -1))
-    named = cut.select("line_no", F.when(F.size("p") == 3, F.get("p", F.lit(0))).otherwise(F.raise_error(F.lit("a relation row has not three fields"))).alias("name"), F.get("p", F.lit(1)).alias("definition"), F.get("p", F.lit(2)).alias("relation_id"))
+    named = cut.select("line_no", F.when(F.size("p") == 3, F.get("p", F.lit(0))).when(F.col("line_no") == 1, "").otherwise(F.raise_error(F.lit("a relation row has not three fields"))).alias("name"), F.get("p", F.lit(1)).alias("definition"), F.get("p", F.lit(2)).alias("relation_id"))
     last = named.groupBy("name").agg(F.max_by(F.struct("definition", "relation_id"), "line_no").alias("x"))
     return last.select("name", "x.definition", "x.relation_id")
 
