@@ -97,15 +97,17 @@ class Model:
 class Transducer:
     """The compiled machines of one model, and what has been composed with them so far."""
 
-    def __init__(self, data: bytes, most_runs: int = 400_000, most_pairs: int = 400_000):
+    def __init__(self, data: bytes, most_runs: int = 500_000, most_pairs: int = 600_000):
         self.model = m = Model(data)
         self.ids = {p: i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k in (NORMAL, USER)}
         self.score = dict(zip(self.ids, (m.scores[i] for i in self.ids.values()), strict=True))
         ends: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1 and (m.algorithm == UNIGRAM or self.merged(p) == [p]):
-                ends.setdefault(p[-2:], set()).add(len(p))
-        # Lexicon arcs: lengths of the longer pieces that end with two characters, longest first.
+                ends.setdefault(p[-3:], set()).add(len(p))
+        for key in [k for k in ends if len(k) == 3 and k[1:] in ends]:
+            ends[key] |= {2}
+        # Lexicon arcs by the last three characters (two at the start): lengths of the pieces that end so, longest first.
         self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
         known = {c for p in self.ids for c in p}
         self.decoded = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
@@ -115,6 +117,7 @@ class Transducer:
         # With pieces that hold a mark further in, an input is one run.
         self.run = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+|[{cut}]" if cut and not inner else f"{MARK}*[^{MARK}]+|{MARK}+" if not inner else "(?s:.+)")
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}  # the generation before, from which frequent runs are taken over
         self.pairs: dict[tuple[str, str], bool] = {}
         self.most_runs, self.most_pairs = most_runs, most_pairs
 
@@ -165,9 +168,13 @@ class Transducer:
         last: list[str] = [""] * (n + 1)  # the last piece of the best path to each place; "" at the start and after a fallback
         back = [0] * (n + 1)
         ids, score = self.ids, self.score
-        pairs = self.pairs
+        pairs, arcs, two = self.pairs, self.ends, (2,)
         for end in range(1, n + 1):
-            for size in self.ends.get(run[end - 2 : end], ()) if end > 1 else ():
+            c3 = run[end - 3 : end] if end > 2 else run[:end]
+            sizes = arcs.get(c3)
+            if sizes is None:
+                sizes = two if end > 1 and run[end - 2 : end] in arcs else ()
+            for size in sizes:
                 start = end - size
                 if start < 0 or weight[start] == INFINITE:
                     continue
@@ -176,7 +183,8 @@ class Transducer:
                     continue
                 if bpe:
                     before = last[start]
-                    if not before or (ok := pairs.get((before, piece))) or (ok is None and self.stable(before, piece)):
+                    ok = True if not before else pairs.get((before, piece))
+                    if ok or (ok is None and self.stable(before, piece)):
                         weight[end], back[end], last[end] = weight[start] + 1.0, start, piece
                         break  # no second sequence of stable neighbours spells the same characters
                 elif weight[start] - score[piece] < weight[end]:
@@ -209,11 +217,15 @@ class Transducer:
             return b"".join(map(table.__getitem__, runs))
         except KeyError:
             if len(table) > self.most_runs:
-                table.clear()
+                self.old_runs, self.runs = table, {}
+                table = self.runs
             for r in runs:
                 if r not in table:
-                    ids = self.shortest_path(r)
-                    table[r] = struct.pack(f"<{len(ids)}I", *ids)
+                    known = self.old_runs.get(r)
+                    if known is None:
+                        ids = self.shortest_path(r)
+                        known = struct.pack(f"<{len(ids)}I", *ids)
+                    table[r] = known
             return b"".join(map(table.__getitem__, runs))
 
     def decode(self, ids: bytes) -> str:
