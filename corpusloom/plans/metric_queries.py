@@ -258,3 +258,41 @@ def events_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.col("total").cast("decimal(28,6)").alias("total"))
 
 
+
+
+@query("shuffled_take", "SELECT doc_id FROM documents ORDER BY sha256('42:' || doc_id), CAST(doc_id AS VARCHAR) LIMIT 100")
+def shuffled_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 of a seeded shuffle (the limit is the feature)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sampling.shuffled(docs, F.col("doc_id").cast("string"), 42).limit(100)
+
+
+@query(
+    "padded_batches",
+    r"""WITH w AS (SELECT doc_id, doc_id // 8 AS batch_id, CAST(least(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), 60) + 4 AS INTEGER) AS n FROM documents)
+    SELECT doc_id, batch_id, max(n) OVER (PARTITION BY batch_id) AS length, max(n) OVER (PARTITION BY batch_id) - n AS padding FROM w""",
+)
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.transform(T.words(F.col("text")), F.length)
+    made = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 8").alias("batch_id"), token_blocks.example(ids, F.array(*map(F.lit, (1, 2, 3, 4))), 64).alias("e"))
+    padded = token_blocks.pad(made.select("doc_id", "batch_id", "e.*"), 0)
+    return padded.select("doc_id", "batch_id", F.size("input_ids").alias("length"), F.size(F.filter("attention_mask", lambda x: x == 0)).alias("padding"))
+
+
+@query(
+    "label_mapping",
+    """WITH c AS (SELECT l_orderkey AS q, l_linenumber AS n, min(l_partkey) AS p, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL)
+    SELECT q AS query_id, coalesce(string_agg(CASE WHEN r THEN 'P' || p END, ',' ORDER BY n), '') AS predicted, 'C999' AS invalid,
+           coalesce(string_agg(CASE WHEN r THEN 'C' || lpad(CAST(n AS VARCHAR), 3, '0') END, ',' ORDER BY n), '') AS duplicates
+    FROM c GROUP BY q""",
+)
+def label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each returned line is answered twice, and one label is unknown."""
+    label = F.format_string("C%03d", "l_linenumber")
+    line = F.struct("l_linenumber", label.alias("label"), F.concat(F.lit("P"), "p").alias("issue_uid"), "r")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
+    per = lines.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_sort(F.collect_list(line)).alias("candidates"))
+    answered = F.transform(F.filter("candidates", lambda c: c["r"]), lambda c: c["label"])
+    rows = per.select("query_id", "candidates", F.concat(answered, F.array(F.lit("C999")), answered).alias("labels"))
+    found = metrics.map_labels(rows)
+    return found.select("query_id", F.array_join("predicted_uids", ",").alias("predicted"), F.array_join("invalid_labels", ",").alias("invalid"), F.array_join("duplicate_labels", ",").alias("duplicates"))
