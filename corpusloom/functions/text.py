@@ -22,9 +22,10 @@ def _clean(text: str | None) -> str | None:
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    if not text.isprintable():
-        text = "".join(" " if unicodedata.category(c)[0] == "C" else c for c in text)
-    return " ".join(text.split())
+    text = " ".join(text.split())
+    if not text.isprintable():  # line breaks and tabs are gone by now, so few texts come here
+        text = " ".join("".join(" " if unicodedata.category(c)[0] == "C" else c for c in text).split())
+    return text
 
 
 @pandas_udf(StringType())
@@ -55,11 +56,11 @@ def word_count(text: Column) -> Column:
 
 def clean_word_count(text: Column) -> Column:
     """:func:`word_count` of a cleaned text, whose words are one blank apart."""
-    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.translate(text, " ", "")) + 1)
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
 
 
 def is_placeholder(text: Column) -> Column:
-    return F.lower(text).isin(list(PLACEHOLDERS))
+    return (F.length(text) <= max(map(len, PLACEHOLDERS))) & F.lower(text).isin(list(PLACEHOLDERS))
 
 
 def mask_urls(text: Column) -> Column:

@@ -36,7 +36,7 @@ def _masked(issues: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
     c, u, i, r = (f"{column}{x}" for x in ("", "_urls", "_ids", "_rest"))
     holds = F.contains(F.col(u), F.lit("-")) if prefixes else F.lit(False)
     cleaned = issues.withColumn("_raw", F.col(c)).withColumn(c, T.clean_whitespace(c))
-    one = cleaned.withColumn(u, F.when(F.contains(F.lower(c), F.lit("http")), T.mask_urls(F.col(c))).otherwise(F.col(c)))
+    one = cleaned.withColumn(u, F.when(F.contains(F.col(c), F.lit("://")), T.mask_urls(F.col(c))).otherwise(F.col(c)))
     two = one.withColumn(i, F.when(holds, F.regexp_replace(u, T.issue_pattern(prefixes), F.lit(T.ISSUE_REF))).otherwise(F.col(u)))
     three = two.withColumn(r, F.when(F.contains(F.col(i), F.lit(T.ISSUE_REF)), T.remove_relations(F.col(i))).otherwise(F.col(i)))
     empty = T.is_placeholder(F.col(c))
@@ -50,7 +50,7 @@ def _masked(issues: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
     return three.select(
         *(x for x in issues.columns if x != column),
         flags.alias(f"{column}_flags"),
-        F.when(empty, "").otherwise(T.squeeze_blanks(F.col(r))).alias(column),
+        F.when(empty, "").when(F.col(r) != F.col(i), T.squeeze_blanks(F.col(r))).otherwise(F.col(r)).alias(column),
     )
 
 
