@@ -10,7 +10,9 @@ or more. Candidates come from two kinds of fingerprints of the same shingles:
   similarity s agrees in one table with probability s**4, so at 0.8 it is missed with 0.59**TABLES.
 
 Every candidate pair is verified on the whole shingle sets. Copies collapse before all that by a 128-bit
-hash of the text; buckets link every member to their smallest and to their largest id, never all pairs.
+hash of the text. A bucket first pairs every member with its smallest and its largest id. What verified
+pairs then leave unconnected goes on in turns: about 4**k members by turn k meet all whose turn is still to
+come, until the bucket is connected or each of its pairs was tested, or cannot be similar by the set sizes.
 
 Defined results: texts without a word are copies of one another; rows with a null doc_id take no part and
 always stay; rows that share a doc_id are one document; ties need no rule, groups are named by their
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._text import checkpointed, fresh, stored
 from corpusloom.llm.components import components
-from corpusloom.llm.simhash import fingerprint, linked, shingle_digests
+from corpusloom.llm.simhash import RADIUS, fingerprint, linked, shingle_digests
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -57,21 +59,22 @@ def sample_fingerprints(digests: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> DataFrame:
-    """doc_id, content (128-bit hash of the text), fp and subs (array of sample fingerprints)."""
+    """doc_id, content (128-bit hash of the text), n (distinct shingles), fp and subs (array of sample fingerprints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, fp, subs = [], [], []
+            content, n, fp, subs = [], [], [], []
             for t in b.column("_text").to_pylist():
                 digests = shingle_digests(t, size)
                 content.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) if len(digests) else b"")
+                n.append(len(np.unique(digests >> np.uint64(32))))
                 fp.append(fingerprint(digests))
                 subs.append(sample_fingerprints(digests))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * TABLES), pa.array(np.concatenate([np.empty(0, np.uint64), *subs]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(content, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists], ["doc_id", "content", "fp", "subs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(content, pa.binary()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists], ["doc_id", "content", "n", "fp", "subs"])
 
     chosen = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return chosen.mapInArrow(run, "doc_id bigint, content binary, fp bigint, subs array<bigint>")
+    return chosen.mapInArrow(run, "doc_id bigint, content binary, n bigint, fp bigint, subs array<bigint>")
 
 
 def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -100,12 +103,16 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar."""
+def paired_sets(pairs: DataFrame, docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """id and set, stored, of every document of ``pairs`` (a, b)."""
     ids = _few(stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "paired-ids"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
     # Rows that share a doc_id would multiply the pairs.
-    sets = stored(_shingle_sets(rows, size).groupBy("id").agg(F.max("set").alias("set")), "shingle-sets")
+    return stored(_shingle_sets(rows, size).groupBy("id").agg(F.max("set").alias("set")), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts are similar."""
     of_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = of_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
@@ -117,28 +124,77 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, te
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b, of the doc_ids of ``reps`` (doc_id, fp, subs) that any fingerprint brings together."""
-    leaders = reps.groupBy("fp").agg(F.min("doc_id").alias("leader"))
-    same = reps.join(leaders, "fp").where("doc_id > leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    balls = linked(leaders)
-    left, right = leaders.select(F.col("fp").alias("a"), F.col("leader").alias("x")), leaders.select(F.col("fp").alias("b"), F.col("leader").alias("y"))
-    near = balls.join(left, "a").join(right, "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    rows = reps.select("doc_id", F.posexplode("subs").alias("t", "s"))
-    ends = rows.groupBy("t", "s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    met = rows.join(ends, ["t", "s"])
+def buckets(reps: DataFrame) -> DataFrame:
+    """t, s, doc_id, n and fp: the members of every bucket (t, s) of ``reps`` (doc_id, n, fp, subs).
+
+    Table ``TABLES`` is that of the balls: its buckets are the classes of :func:`linked` by their smallest
+    fingerprint, so any two documents within ``RADIUS`` share one.
+    """
+    own = reps.select("doc_id", "n", "fp")
+    sampled = reps.select(F.posexplode("subs").alias("t", "s"), "doc_id", "n", "fp")
+    distinct = own.select("fp").distinct()
+    classes = stored(linked(distinct), "balls").select(F.col("a").alias("fp"), F.col("b").alias("s"))
+    balls = own.join(classes.union(distinct.select("fp", F.col("fp").alias("s"))), "fp")
+    return sampled.union(balls.select(F.lit(TABLES).alias("t"), "s", "doc_id", "n", "fp"))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of every document of a bucket with the smallest and the largest doc_id there."""
+    ends = members.groupBy("t", "s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    met = members.join(ends, ["t", "s"])
     low = met.where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     high = met.where("doc_id < high").select(F.col("high").alias("a"), F.col("doc_id").alias("b"))
-    return same.union(near).union(low).union(high).distinct()
+    return low.union(high).distinct()
+
+
+def in_turns(members: DataFrame) -> DataFrame:
+    """The members of the buckets of four or more, whose pairs the two ends do not exhaust, with the turn of each.
+
+    Turn k is that of about 4**k members of a bucket, by a hash of the id, so the last turn is the logarithm of the bucket.
+    """
+    sizes = members.groupBy("t", "s").agg(F.count("*").alias("m")).where("m > 3")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("m") / (1 << 30)
+    turn = F.greatest(F.coalesce(F.ceil(F.log2(share) / 2), F.lit(0)), F.lit(0)).cast("int")
+    return members.join(sizes, ["t", "s"]).select("t", "s", "doc_id", "n", "fp", turn.alias("turn"))
+
+
+def untested(members: DataFrame, roots: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a, b), a > b, of the members whose turn it is with those whose turn comes later, in buckets that are not connected."""
+    placed = members.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
+    apart = placed.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    live = placed.join(apart.select("t", "s"), ["t", "s"]).where(F.col("turn") >= turn)
+    x = live.where(F.col("turn") == turn).select("t", "s", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "fp", "root")))
+    later = (F.col("turn") > turn) | (F.col("doc_id") > F.col("x_doc_id"))
+    # The similarity is at most the ratio of the sizes.
+    sized = F.least("n", "x_n") / F.greatest("n", "x_n") >= similarity
+    close = (F.col("t") < TABLES) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("x_fp"))) <= RADIUS)
+    met = x.join(live, ["t", "s"]).where((F.col("root") != F.col("x_root")) & later & sized & close)
+    return met.select(F.greatest("doc_id", "x_doc_id").alias("a"), F.least("doc_id", "x_doc_id").alias("b")).distinct()
+
+
+def connected(reps: DataFrame, docs: DataFrame, size: int, similarity: float, text: str = "text") -> DataFrame:
+    """node and root of the components of all similar pairs that share a bucket."""
+    members = stored(buckets(reps), "buckets")
+    tested = checkpointed(candidates(members))
+    sets = paired_sets(tested, docs, size, text)
+    roots = components(verified(tested, sets, similarity))
+    crowd = stored(in_turns(members), "crowded-buckets")
+    last = crowd.agg(F.max("turn")).first()[0]
+    for turn in range(-1 if last is None else last + 1):
+        pairs = checkpointed(untested(crowd, roots, turn, similarity).join(tested, ["a", "b"], "left_anti"))
+        found = checkpointed(verified(pairs, sets, similarity))
+        tested = tested.union(pairs)
+        if found.count():
+            roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return roots
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """doc_id and group_id (smallest doc_id of the group) of every document with a doc_id."""
     marked = stored(sketches(docs, size, text), "sketches")
     copies = marked.groupBy("content").agg(F.min("doc_id").alias("rep"))
-    reps = marked.join(copies, "content").where("doc_id = rep").select("doc_id", "fp", "subs").dropDuplicates(["doc_id"])
-    pairs = checkpointed(candidates(reps))
-    roots = components(verified(pairs, docs, size, similarity, text))
+    reps = marked.join(copies, "content").where("doc_id = rep").select("doc_id", "n", "fp", "subs").dropDuplicates(["doc_id"])
+    roots = connected(reps, docs, size, similarity, text)
     of_rep = copies.join(roots, F.col("rep") == F.col("node"), "left").select("content", F.coalesce("root", "rep").alias("group_id"))
     return marked.join(of_rep, "content").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 

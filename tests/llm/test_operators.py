@@ -175,6 +175,19 @@ def test_similar_groups_find_all_close_pairs(spark, edges, nothing):
     assert kept.columns == edges.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 900, 903, 903, 904]
 
 
+def test_similar_groups_with_a_base_in_the_middle(spark):
+    rng = random.Random(11)
+    base = prose(rng, 250).split()
+    texts = {50: " ".join(base)}
+    for k, i in enumerate([*range(1, 13), *range(88, 100)]):
+        texts[i] = " ".join([*base[: 10 * k], prose(rng, 20, ["zu", "pa"]), *base[10 * k + 20 :]])
+    ends = [i for i in texts if i != 50]
+    assert all(jaccard(texts[i], texts[50]) >= 0.8 for i in ends)
+    assert all(jaccard(texts[i], texts[j]) < 0.8 for i in ends for j in ends if i < j)
+    got = simhash_similar.groups(documents(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == dict.fromkeys(texts, 1)
+
+
 # ---- line dedup ------------------------------------------------------------------------------------------------
 
 
