@@ -10,6 +10,11 @@ Occurrences are grouped by the text itself (its bytes), after partial aggregatio
 passage that a third of the documents hold is one row per task. Only 128-bit keys travel back to the
 documents; a key under which two different texts were seen removes nothing.
 
+The cut leaves single short lines, which are no chunk of two. :func:`dedup_runs` therefore also removes
+repeated runs of lines with ``LONG_WORDS`` words or more, line by line. From every line it takes the
+shortest run with that many words, and the longer ones up to where the next line's shortest ends; any
+repeated run is covered by those within it. Runs are grouped by 128 bits of the SHA-256 of their lines.
+
 Only built-in functions are used. Defined results: null texts stay null, empty texts empty; blank lines
 belong to the chunk around them; a text of which all is removed is the empty string; rows with a null
 doc_id are never changed and never the first occurrence; of rows that share a doc_id the first
@@ -34,7 +39,7 @@ def _long_line(line: Column) -> Column:
 
 
 def chunks_of(text: Column) -> Column:
-    """array<struct<text, passage>>: the chunks of a text in order; joined by newlines they are the text."""
+    """array<struct<text, passage, start, stop>>: the chunks of a text in order, with their lines; joined by newlines they are the text."""
 
     def rows(line: Column) -> Column:
         return F.struct(line.alias("t"), F.xxhash64(line).alias("h"), _long_line(line).alias("long"))
@@ -52,6 +57,8 @@ def chunks_of(text: Column) -> Column:
             lambda p: F.struct(
                 F.array_join(F.transform(p, lambda x: x["t"]), "\n").alias("text"),
                 ((F.size(worded) >= 2) | F.exists(p, lambda x: x["long"])).alias("passage"),
+                start.alias("start"),
+                (end - 1).alias("stop"),
             ),
         )
 
@@ -70,9 +77,9 @@ def _keys(text: Column) -> tuple[Column, Column]:
 
 
 def passages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, place (number of the chunk) and passage (text) of every passage of every row with a doc_id."""
+    """doc_id, place (number of the chunk), passage (text) and its lines from start to stop, of every passage of every row with a doc_id."""
     found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(chunks_of(F.col(text))).alias("place", "c"))
-    return found.where("c.passage").select("doc_id", "place", F.col("c.text").alias("passage"))
+    return found.where("c.passage").select("doc_id", "place", F.col("c.text").alias("passage"), "c.start", "c.stop")
 
 
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -83,12 +90,86 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     return texts.where("texts = 1 and n > 1").select("h1", "h2", "first", "n")
 
 
+def _again(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, place, start and stop of the passages that go."""
+    keyed = passages(docs, text).select("doc_id", "place", "start", "stop", *_keys(F.col("passage")))
+    again = keyed.join(repeated(docs, text), ["h1", "h2"])
+    return again.where(F.struct("doc_id", "place") != F.col("first"))
+
+
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and places (array<int>): the chunks that go."""
-    keyed = passages(docs, text).select("doc_id", "place", *_keys(F.col("passage")))
-    again = keyed.join(repeated(docs, text), ["h1", "h2"])
-    gone = again.where(F.struct("doc_id", "place") != F.col("first"))
-    return gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    return _again(docs, text).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+
+
+def runs_of(text: Column) -> Column:
+    """array<struct<start, stop, key>>: runs of two lines or more with LONG_WORDS words or more, that cover any such run of the text."""
+
+    def rows(line: Column, i: Column) -> Column:
+        return F.struct(i.alias("p"), F.sha2(line, 256).alias("d"), F.size(words_of(line)).alias("w"))
+
+    def last(v: Column, i: Column) -> Column:
+        """Index of the line with which the words from line i on reach LONG_WORDS, or null. Lines without words are not in v."""
+
+        def grow(acc: Column, x: Column) -> Column:
+            more = acc["w"] < LONG_WORDS
+            return F.struct((acc["w"] + F.when(more, x["w"]).otherwise(0)).alias("w"), (acc["n"] + more.cast("int")).alias("n"))
+
+        none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+        slow = let(F.aggregate(F.slice(v, i + 1, LONG_WORDS), none, grow), lambda acc: F.when(acc["w"] >= LONG_WORDS, i + acc["n"] - 1))
+        sums = [F.get(v, i)["w"]]
+        for k in range(1, 4):
+            sums.append(sums[-1] + F.get(v, i + k)["w"])
+        found = F.when(sums[0] >= LONG_WORDS, i)
+        for k in range(1, 4):
+            found = found.when(sums[k] >= LONG_WORDS, i + k)
+        return found.when(sums[3].isNull(), F.lit(None).cast("int")).otherwise(slow)
+
+    def runs(v: Column, lasts: Column, lines: Column) -> Column:
+        def run(i: Column, j: Column) -> Column:
+            start, stop = F.get(v, i)["p"], F.get(v, j)["p"]
+            digests = F.transform(F.slice(lines, start + 1, stop - start + 1), lambda x: x["d"])
+            return F.struct(start.alias("start"), stop.alias("stop"), F.unhex(F.substring(F.sha2(F.array_join(digests, ""), 256), 1, 32)).alias("key"))
+
+        def from_line(j: Column, i: Column) -> Column:
+            upto = F.greatest(j, F.coalesce(F.get(lasts, i + 1), F.size(v)) - 1)
+            ends = F.when(j.isNull(), F.array().cast("array<int>")).otherwise(F.filter(F.sequence(j, upto), lambda e: e > i))
+            return F.transform(ends, lambda e: run(i, e))
+
+        return F.flatten(F.transform(lasts, from_line))
+
+    def of_lines(lines: Column) -> Column:
+        worded = F.filter(lines, lambda x: x["w"] > 0)
+        return let(worded, lambda v: let(F.transform(v, lambda x, i: last(v, i)), lambda lasts: runs(v, lasts, lines)))
+
+    return let(F.transform(F.split(text, "\n"), rows), of_lines)
+
+
+def _runs_again(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, start and stop: the lines of repeated runs but those of the first occurrence."""
+    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(runs_of(F.col(text))).alias("r")).select("doc_id", "r.*")
+    firsts = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = found.join(firsts.select("key", "first"), "key").where(F.struct("doc_id", "start") != F.col("first"))
+    # An occurrence may begin within the first one.
+    own = F.when(F.col("doc_id") == F.col("first.doc_id"), F.greatest("start", F.col("first.start") + F.col("stop") - F.col("start") + 1)).otherwise(F.col("start"))
+    return again.select("doc_id", own.alias("start"), "stop").where("start <= stop")
+
+
+def dedup_runs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Like :func:`dedup`, with repeated runs of lines taken out too; n_removed counts the stretches of lines that went."""
+    own, where, kept = (fresh(docs, n) for n in ("_id", "_lines", "_kept"))
+    again = _again(docs, text).select("doc_id", "start", "stop").union(_runs_again(docs, text))
+    gone = again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("lines"))
+    joined = docs.join(gone.select(F.col("doc_id").alias(own), F.col("lines").alias(where)), F.col("doc_id") == F.col(own), "left")
+    lines = F.coalesce(F.col(where), F.array().cast("array<int>"))
+    left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(lines, i))
+    cut = joined.withColumn(kept, F.when(F.size(lines) > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
+    stretches = F.size(F.filter(lines, lambda i: ~F.array_contains(lines, i - 1)))
+    return cut.select(
+        *(F.col(kept).alias(c) if c == text else F.col(c) for c in docs.columns),
+        stretches.cast("long").alias(fresh(docs, "n_removed")),
+        (F.length(text) - F.length(kept)).cast("long").alias(fresh(docs, "removed_chars")),
+    )
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -233,6 +233,28 @@ def test_line_dedup_against_brute_force(spark, edges, nothing):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def test_line_dedup_takes_out_whole_runs(spark, edges, nothing):
+    rng = random.Random(12)
+    shapes = [(2, 30), (3, 20), (4, 15), (6, 10), (13, 4), (50, 1), (1, 60)]
+    passages = ["\n".join(prose(rng, n) for _ in range(lines)) for lines, n in shapes for _ in range(3)]
+    passages += [prose(rng, 55) + "\n" + prose(rng, 3), prose(rng, 20) + "\n\n \n" + prose(rng, 31)]
+    short = prose(rng, 49)
+    around = [[prose(rng, 25) for _ in range(2 * len(passages) + 1)] for _ in range(8)]
+    texts = ["\n".join(x for k, p in enumerate(passages) for x in (lines[2 * k], p, lines[2 * k + 1])) + "\n" + short + "\n" + lines[-1] for lines in around]
+    own = prose(rng, 10)
+    texts.append("\n".join([own] * 12))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_runs(documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    assert got[0]["text"] == texts[0] and got[0]["n_removed"] == 0
+    for i in range(1, 8):
+        assert got[i]["text"] == "\n".join(x for x in [*around[i][:-1], short, around[i][-1]])
+        assert got[i]["n_removed"] == len(passages) and got[i]["removed_chars"] == len(texts[i]) - len(got[i]["text"])
+    # Copies that overlap the first occurrence leave it whole.
+    assert got[8]["text"] == "\n".join([own] * 5)
+    left = line_dedup.dedup_runs(edges)
+    assert left.columns == [*edges.columns, "n_removed_", "removed_chars"] and left.count() == len(EDGES)
+    assert line_dedup.dedup_runs(nothing).count() == 0
+
+
 # ---- quality rules ---------------------------------------------------------------------------------------------
 
 
