@@ -53,16 +53,17 @@ class WordEncoder:
     """Ids of a tokenizer, with the words of plain texts looked up in a bounded table.
 
     For the tokenizers whose pre-tokenizer is WORD_PATTERN every pre-token is encoded by itself, so the
-    ids of a text are those of its words in a row. Other texts, and other tokenizers, take the library's way.
+    ids of a text are those of its words in a row. Other texts, those that hold the literal of an added token
+    (in any case), and other tokenizers take the library's way.
     """
 
     def __init__(self, definition: str, most_words: int = 400_000):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(definition)
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
-        self.by_word = (pre[0].get("pattern") or {}).get("Regex") == WORD_PATTERN and kinds == NORMALISERS and pre[0].get("behavior") == "Removed"
+        self.added = [a["content"].lower() for a in spec.get("added_tokens") or [] if a.get("content")]
+        self.by_word = not any(re.search(r"\s", a) for a in self.added) and (pre[0].get("pattern") or {}).get("Regex") == WORD_PATTERN and kinds == NORMALISERS and pre[0].get("behavior") == "Removed"
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -90,8 +91,9 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if self.by_word and _PLAIN.fullmatch(t):
-                plain.append((i, _WORD.findall(t.lower())))
+            low = t.lower()
+            if self.by_word and _PLAIN.fullmatch(t) and not any(a in low for a in self.added):
+                plain.append((i, _WORD.findall(low)))
             else:
                 out[i] = self._library([t])[0]
         new = list(set().union(*(w for _, w in plain)) - self.words.keys()) if plain else []

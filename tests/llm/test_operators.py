@@ -338,6 +338,14 @@ def test_packing_places_every_id_once_in_the_mixture(spark, nothing):
     assert packing.pack(nothing, DEFINITION).count() == 0
 
 
+def test_packing_encodes_added_tokens_as_the_library_does():
+    own = Tokenizer.from_str(DEFINITION)
+    texts = ["hello <|endoftext|> x", "hello <|ENDOFTEXT|> x", "a<|startoftext|>b", "< |endoftext|> endoftext", "é <|endoftext|>", "日本<|endoftext|>", "hello x"]
+    assert 49407 in own.encode(texts[0], add_special_tokens=False).ids
+    got = packing.WordEncoder(DEFINITION).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("totals", [[5000, 70, 3], [1], [4, 4, 4], [100000, 999]])
 def test_mixture_windows_are_full(totals):
     m = packing.Mixture([t for t in totals], 64)
