@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,66 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
 
 
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any] = lambda: None) -> Any:
+    """``make()``, kept in this Python worker from task to task until one with another key begins.
+
+    Workers outlive their tasks and serve all operators; what one of them builds must not stay in memory while the next works.
+    """
+    if key not in _HELD:
+        if any(v is not None for v in _HELD.values()):
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: it gives memory back when it likes
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows`` rows, and of about ``most_bytes`` where rows are large, so that few are Python objects at once."""
+    for b in batches:
+        step = max(1, min(rows, int(b.num_rows * most_bytes / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+class RecentTable(dict):
+    """What ``make`` gives for keys (str or bytes), kept up to about ``most_bytes``.
+
+    There are two generations. When the newer has half the bound, :meth:`turn` lets the older go; keys that are met again
+    move on from it. Keys longer than ``longest`` are not kept.
+    """
+
+    def __init__(self, make: Callable[[Any], bytes], most_bytes: int, longest: int = 64):
+        super().__init__()
+        self.make, self.most_bytes, self.longest = make, most_bytes, longest
+        self.old: dict[Any, bytes] = {}
+        self.bytes = 0
+
+    def __missing__(self, key: Any) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            # Two objects and a place in the table.
+            self.bytes += 150 + len(key) + len(value)
+            self[key] = value
+        return value
+
+    def turn(self) -> RecentTable:
+        if self.bytes > self.most_bytes // 2:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+        return self
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._models import sample_per_class
-from corpusloom.llm._text import fresh
+from corpusloom.llm._text import fresh, held, slices
 
 DIM = 1 << 12
 UNDETERMINED = "und"
@@ -116,7 +116,8 @@ def fit(docs: DataFrame, per_class: int = 500) -> LanguageModel | None:
     rows = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")  # at most per_class ids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("language")
+        for b in slices(batches):
             x = [gram_vector(t).astype(np.float32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(x, pa.binary())], ["lang", "x"])
 
@@ -136,12 +137,12 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("language")
+        for b in slices(batches, chunk):
             texts = b.column(own).to_pylist()
             lang, score, unsure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            found = [i for i, t in enumerate(texts) if model and has_letter(t)]
-            for at in range(0, len(found), chunk):
-                rows = found[at : at + chunk]
+            rows = [i for i, t in enumerate(texts) if model and has_letter(t)]
+            if rows:
                 best, p, gap = model.decode(np.array([gram_vector(texts[i]) for i in rows]))
                 for i, k, s, g in zip(rows, best, p, gap, strict=True):
                     lang[i], score[i], unsure[i] = model.languages[k], float(s), bool(g < ambiguous_below)

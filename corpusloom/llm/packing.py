@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from corpusloom.llm._text import stored
+from corpusloom.llm._text import RecentTable, held, slices, stored
 
 END_ID = 1
 WINDOW = 2048
@@ -46,72 +49,105 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
 #: ASCII and the Latin-1 letters: composed, and with lower-case forms of one character.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_CONTRACTION = re.compile(rb"'(?:s|t|re|ve|m|ll|d)")
+#: What str.split() takes for a blank and the tokenizer does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _kinds() -> np.ndarray:
+    """0 blank, 1 letter, 2 digit, 3 other, for every lower-cased Latin-1 character of _PLAIN."""
+    kinds = np.full(256, 3, np.uint8)
+    kinds[[9, 10, 13, 32]] = 0
+    kinds[97:123] = kinds[223:247] = kinds[248:256] = 1
+    kinds[48:58] = 2
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def split_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The pre-tokens by WORD_PATTERN of plain texts, lower-cased and in Latin-1, in one list, and the place in it where each text begins."""
+    raw = "\n".join(texts).lower().encode("latin-1")
+    b = np.frombuffer(raw, np.uint8)
+    kind = _KINDS[b]
+    solid = kind != 0
+    joint = solid[1:] & solid[:-1]  # between a character and the next
+    joint &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    marks = np.flatnonzero(b[:-1] == 39)
+    # An apostrophe that opens a run of other characters, before a letter.
+    marks = marks[(kind[marks + 1] == 1) & ((marks == 0) | (kind[marks - 1] != 3))]
+    for at in marks.tolist():
+        if found := _CONTRACTION.match(raw, at):
+            joint[at] = False
+            if found.end() < len(raw) and solid[found.end()]:
+                joint[found.end() - 1] = True
+    words = np.insert(b, np.flatnonzero(joint) + 1, 32).tobytes().split()
+    first = solid.copy()
+    first[1:] &= ~solid[:-1] | joint
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return words, np.searchsorted(np.flatnonzero(first), offsets)
 
 
 class WordEncoder:
-    """Ids of a tokenizer, with the words of plain texts looked up in a bounded table.
+    """Ids of a tokenizer, with words looked up in a bounded table.
 
-    For the tokenizers whose pre-tokenizer is WORD_PATTERN every pre-token is encoded by itself, so the
-    ids of a text are those of its words in a row. Other texts, those that hold the literal of an added token
-    (in any case), and other tokenizers take the library's way.
+    For the tokenizers whose pre-tokenizer is WORD_PATTERN every word is encoded by itself, so the ids of a plain text are
+    those of its words in a row. No token and no normalisation reaches across a blank, so other texts are cut there;
+    chunks that are not plain or hold the literal of an added token take the library's way. So do whole texts with an ASCII
+    separator, and all texts of other tokenizers.
     """
 
-    def __init__(self, definition: str, most_words: int = 400_000):
-        self.tokenizer = Tokenizer.from_str(definition)
+    def __init__(self, definition: str, kind: str = "<u4", most_bytes: int = 64 << 20):
+        self.tokenizer, self.kind = Tokenizer.from_str(definition), kind
         spec = json.loads(definition)
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
         self.added = [a["content"].lower() for a in spec.get("added_tokens") or [] if a.get("content")]
-        self.by_word = not any(re.search(r"\s", a) for a in self.added) and (pre[0].get("pattern") or {}).get("Regex") == WORD_PATTERN and kinds == NORMALISERS and pre[0].get("behavior") == "Removed"
-        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        for piece, i in vocabulary.items():
-            self.ends[i] = bool(suffix) and piece.endswith(suffix)
-        self.words: dict[str, bytes] = {}
-        self.most_words = most_words
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each pre-token: many are encoded as one text and cut after the pieces that end a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(words):
-            return self._library(words)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        self.by_word = (
+            not any(re.search(r"\s", a) for a in self.added)
+            and kinds == NORMALISERS
+            and [p.get("type") for p in pre] == ["Split", "ByteLevel"]
+            and (pre[0]["pattern"].get("Regex"), pre[0]["behavior"], pre[0]["invert"]) == (WORD_PATTERN, "Removed", True)
+            and not (pre[1]["add_prefix_space"] or pre[1]["use_regex"])
+        )
+        self.tokenize, self.code = self.tokenizer.model.tokenize, {"<u2": "H", "<u4": "I"}[kind]
+        self.bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.odd = RecentTable(self._word, most_bytes), RecentTable(self._library, most_bytes // 8)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one pre-token, by the tokenizer's model alone."""
+        text = word.decode("latin-1")
+        if not text.isascii():
+            text = self.bytewise.pre_tokenize_str(text)[0][0]
+        ids = [t.id for t in self.tokenize(text)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _plain(self, text: str) -> bool:
+        low = text.lower()
+        return _PLAIN.fullmatch(text) is not None and not any(a in low for a in self.added)
+
+    def _units(self, text: str | None) -> list[str]:
+        """A text that is plain or must stay whole, or else its chunks between blanks."""
+        if not text:
+            return []
+        if not self.by_word or self._plain(text) or any(c in text for c in _SEPARATORS):
+            return [text]
+        return text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            low = t.lower()
-            if self.by_word and _PLAIN.fullmatch(t) and not any(a in low for a in self.added):
-                plain.append((i, _WORD.findall(low)))
-            else:
-                out[i] = self._library([t])[0]
-        new = list(set().union(*(w for _, w in plain)) - self.words.keys()) if plain else []
-        if len(self.words) + len(new) > self.most_words:
-            self.words.clear()
-            new = list(set().union(*(w for _, w in plain)))
-        for k in range(0, len(new), 1000):
-            self.words.update(zip(new[k : k + 1000], self._words(new[k : k + 1000]), strict=True))
-        get = self.words.__getitem__
-        for i, words in plain:
-            out[i] = b"".join(map(get, words))
-        return out
-
-
-@lru_cache(maxsize=2)
-def _encoder(definition: str) -> WordEncoder:
-    """One for each Python worker, which outlives the task."""
-    return WordEncoder(definition)
+        """Little-endian ids of each text, of the width that ``kind`` names."""
+        units = [self._units(t) for t in texts]
+        plain = [[self.by_word and self._plain(u) for u in us] for us in units]
+        together = [u for us, ps in zip(units, plain, strict=True) for u, p in zip(us, ps, strict=True) if p]
+        words, starts = split_words(together) if together else ([], np.zeros(1, np.int64))
+        ids = map(self.words.turn().__getitem__, words)
+        found = (b"".join(islice(ids, n)) for n in np.diff(starts).tolist())
+        odd = self.odd.turn()
+        return [b"".join([next(found) if p else odd[u] for u, p in zip(us, ps, strict=True)]) for us, ps in zip(units, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -120,7 +156,7 @@ def _id_kind(definition: str, end_id: int) -> str:
     return "<u2" if max(top, end_id) < 1 << 16 else "<u4"
 
 
-def tokenised(docs: DataFrame, definition: str, end_id: int = END_ID, text: str = "text", source: str = "source", chunk: int = 128) -> DataFrame:
+def tokenised(docs: DataFrame, definition: str, end_id: int = END_ID, text: str = "text", source: str = "source", chunk: int = 512) -> DataFrame:
     """doc_id, source, task, local (tokens of that source before it in that task), n and ids of every row.
 
     Ids are little-endian, of 16 bits if the vocabulary allows and else of 32 (:func:`_id_kind`).
@@ -128,23 +164,19 @@ def tokenised(docs: DataFrame, definition: str, end_id: int = END_ID, text: str
     kind = _id_kind(definition, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = _encoder(definition), TaskContext.get().partitionId()
-        end, sums = np.array([end_id], "<u4").tobytes(), {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk):
-                b = whole.slice(at, chunk)
-                ids = [x + end for x in encoder.encode(b.column("_text").to_pylist())]
-                sizes = [len(x) // 4 for x in ids]
-                if kind != "<u4":
-                    ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-                local = []
-                for s, n in zip(b.column("source").to_pylist(), sizes, strict=True):
-                    local.append(sums.get(s, 0))
-                    sums[s] = local[-1] + n
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("source"), pa.array([task] * len(ids), pa.int32()), pa.array(local, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "source", "task", "local", "n", "ids"],
-                )
+        encoder, task = held(("words", definition), lambda: WordEncoder(definition, kind)), TaskContext.get().partitionId()
+        end, width, sums = np.array([end_id], kind).tobytes(), int(kind[-1]), {}
+        for b in slices(batches, chunk):
+            ids = [x + end for x in encoder.encode(b.column("_text").to_pylist())]
+            sizes = [len(x) // width for x in ids]
+            local = []
+            for s, n in zip(b.column("source").to_pylist(), sizes, strict=True):
+                local.append(sums.get(s, 0))
+                sums[s] = local[-1] + n
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("source"), pa.array([task] * len(ids), pa.int32()), pa.array(local, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "source", "task", "local", "n", "ids"],
+            )
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("_text"))
     return chosen.mapInArrow(run, "doc_id bigint, source string, task int, local bigint, n bigint, ids binary")
@@ -220,23 +252,23 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, end_id: int = E
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256).to_pydict()
-                rows: list[tuple] = []
-                parts: list[bytes] = []
-                for doc, src, n, raw, q, pos in zip(b["doc_id"], b["source"], b["n"], b["ids"], b["queue"], b["position"], strict=True):
-                    ids = np.frombuffer(raw, kind).astype("<u4").tobytes()
-                    for start, size, seq, off in mixture.pieces(q, pos, n):
-                        parts.append(ids[4 * start : 4 * (start + size)])
-                        rows.append((doc, src, start, size, zlib.crc32(parts[-1]), n, seq, off))
-                doc, src, start, size, crc, n, seq, off = zip(*rows, strict=True) if rows else ((),) * 8
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32)))
-                i64 = pa.int64()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, i64), pa.array(src, pa.string()), pa.array(start, i64), pa.array(size, i64), arrays, pa.array(crc, i64), pa.array(n, i64), pa.array(seq, i64), pa.array(off, i64)], names
-                )
+        held("pieces")
+        for part in slices(batches):
+            b = part.to_pydict()
+            rows: list[tuple] = []
+            parts: list[bytes] = []
+            for doc, src, n, raw, q, pos in zip(b["doc_id"], b["source"], b["n"], b["ids"], b["queue"], b["position"], strict=True):
+                ids = np.frombuffer(raw, kind).astype("<u4").tobytes()
+                for start, size, seq, off in mixture.pieces(q, pos, n):
+                    parts.append(ids[4 * start : 4 * (start + size)])
+                    rows.append((doc, src, start, size, zlib.crc32(parts[-1]), n, seq, off))
+            doc, src, start, size, crc, n, seq, off = zip(*rows, strict=True) if rows else ((),) * 8
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32)))
+            i64 = pa.int64()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, i64), pa.array(src, pa.string()), pa.array(start, i64), pa.array(size, i64), arrays, pa.array(crc, i64), pa.array(n, i64), pa.array(seq, i64), pa.array(off, i64)], names
+            )
 
     # A row for each task and source: broadcast while their number, just counted, is small; else a shuffle.
     if n_bases <= MOST_BROADCAST:

@@ -24,7 +24,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from corpusloom.llm._text import fresh
+from corpusloom.llm._text import fresh, held, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -234,12 +233,6 @@ class Transducer:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
-def _transducer(data: bytes) -> Transducer:
-    """One for each Python worker, which outlives the task."""
-    return Transducer(data)
-
-
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = 128, ids: bool = True, digest: bool = False) -> DataFrame:
     """``keep`` and, of every row: ids (array<int>) if asked for; with ``digest`` n_ids, ids_crc32 (of little-endian
     32-bit ids) and round_trip (whether decoding the ids gives the text; null for a null text)."""
@@ -252,21 +245,19 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, .
         schema = schema.add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = _transducer(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk):
-                b = whole.slice(at, chunk)
-                texts = b.column(own).to_pylist()
-                found = [fst.encode(t) for t in texts]
-                columns = list(b.columns[:-1])
-                if ids:
-                    ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))))
-                if digest:
-                    columns.append(pa.array([len(x) // 4 for x in found], pa.int64()))
-                    columns.append(pa.array([zlib.crc32(x) for x in found], pa.int64()))
-                    columns.append(pa.array([None if t is None else fst.decode(x) == t for t, x in zip(texts, found, strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+        fst = held(("machines", zlib.crc32(model), len(model)), lambda: Transducer(model))
+        for b in slices(batches, chunk):
+            texts = b.column(own).to_pylist()
+            found = [fst.encode(t) for t in texts]
+            columns = list(b.columns[:-1])
+            if ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))))
+            if digest:
+                columns.append(pa.array([len(x) // 4 for x in found], pa.int64()))
+                columns.append(pa.array([zlib.crc32(x) for x in found], pa.int64()))
+                columns.append(pa.array([None if t is None else fst.decode(x) == t for t, x in zip(texts, found, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return kept.mapInArrow(run, schema)
 
@@ -278,11 +269,9 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", keep: tuple[str,
     schema = encoded.select(*keep).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = _transducer(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk):
-                b = whole.slice(at, chunk)
-                texts = [None if x is None else fst.decode(np.array(x, "<u4").tobytes()) for x in b.column(own).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], schema.fieldNames())
+        fst = held(("machines", zlib.crc32(model), len(model)), lambda: Transducer(model))
+        for b in slices(batches, chunk):
+            texts = [None if x is None else fst.decode(np.array(x, "<u4").tobytes()) for x in b.column(own).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], schema.fieldNames())
 
     return kept.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._text import stored
+from corpusloom.llm._text import held, slices, stored
 from corpusloom.llm.components import components
 
 SEED = 42
@@ -64,7 +64,8 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text") -> DataFram
     """doc_id and fp (the fingerprint as a signed bigint) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("simhash")
+        for b in slices(batches):
             fp = np.array([fingerprint(shingle_digests(t, size)) for t in b.column("_text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._text import checkpointed, fresh, stored
+from corpusloom.llm._text import checkpointed, fresh, held, slices, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import RADIUS, fingerprint, linked, shingle_digests
 
@@ -62,7 +62,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> DataFr
     """doc_id, content (128-bit hash of the text), n (distinct shingles), fp and subs (array of sample fingerprints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("sketches")
+        for b in slices(batches):
             content, n, fp, subs = [], [], [], []
             for t in b.column("_text").to_pylist():
                 digests = shingle_digests(t, size)
@@ -81,7 +82,8 @@ def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     """id and set (sorted 32-bit hashes of the distinct shingles) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("sets")
+        for b in slices(batches):
             sets = [np.unique(shingle_digests(t, size) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
 
@@ -117,7 +119,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = of_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        held("pairs")
+        for t in slices(batches, 1024):
             near = [jaccard(x, y) >= similarity for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._models import sample_per_class
-from corpusloom.llm._text import fresh
+from corpusloom.llm._text import fresh, held, slices
 
 # Look-alikes and the Latin letter that each stands for.
 HOMOGLYPHS = {
@@ -182,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Occurrences (three a document at most) and document frequencies in one task's share of the sample."""
         seen, docs_of = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
-        for b in batches:
+        held("toxicity")
+        for b in slices(batches):
             for y, t in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for term, n in starts_of(t).items():
                     seen[y][term] += min(n, 3)
@@ -219,8 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 def _measures(model: ToxicModel, keep: tuple[str, ...], text: str = "text", scored: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity")
         automaton = model.automaton()
-        for b in batches:
+        for b in slices(batches):
             m = np.array([measure(automaton, t) for t in b.column(text).to_pylist()], np.float64).reshape(-1, 2)
             kept = [b.column(k) for k in keep]
             if scored:

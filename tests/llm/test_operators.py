@@ -346,6 +346,20 @@ def test_packing_encodes_added_tokens_as_the_library_does():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_encodes_any_text_as_the_library_does():
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    encoder, rng = packing.WordEncoder(definition, most_bytes=1 << 14), random.Random(3)
+    odd = "aAb'stTreZ09 .,!<|endoftext|>ßÄéÉ\u0308 \x1c\x1d\x85\u2028\u200bжΣσς日本語İıǅ\n\t\r\x0b\x0cﬁ²½가\ufeff’—"
+    texts: list[str | None] = [None, "", " \n", "x" * 100_000, "<|endoftext|>" * 3, "a<|startoftext|>b", "word " * 20_000 + "日"]
+    for k in range(6000):
+        t = "".join(rng.choice(odd if k % 3 else "aAb'strevmld09 .,!ßÄé\n\t") for _ in range(rng.randint(0, 14)))
+        texts.append(t.lower() if k % 2 else t + "<|EndOfText|>" * (k % 5 == 0))
+    for at in range(0, len(texts), 97):
+        part = texts[at : at + 97]
+        want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        assert encoder.encode(part) == want
+
+
 @pytest.mark.parametrize("totals", [[5000, 70, 3], [1], [4, 4, 4], [100000, 999]])
 def test_mixture_windows_are_full(totals):
     m = packing.Mixture([t for t in totals], 64)
