@@ -1,24 +1,23 @@
-"""Line dedup: repeated multi-line chunks with content-defined boundaries.
-
-A text is split into lines. A rolling hash over the hashes of the last ``WINDOW`` lines opens a new chunk
-where it is zero modulo ``MODULUS``, so boundaries move with the content, not with its place; a line of
-``LONG_WORDS`` words or more is a passage by itself and a chunk of its own. A chunk counts as a passage
-if it has two lines with words, or a long line. Of passages that occur more than once in the table, the
-first by (doc_id, place) stays and the others are removed.
-
-Occurrences are grouped by the text itself (its bytes), after partial aggregation in every task, so a
-passage that a third of the documents hold is one row per task. Only 128-bit keys travel back to the
-documents; a key under which two different texts were seen removes nothing.
-
-The cut leaves single short lines, which are no chunk of two. :func:`dedup_runs` therefore also removes
-repeated runs of lines with ``LONG_WORDS`` words or more, line by line. From every line it takes the
-shortest run with that many words, and the longer ones up to where the next line's shortest ends; any
-repeated run is covered by those within it. Runs are grouped by 128 bits of the SHA-256 of their lines.
-
-Only built-in functions are used. Defined results: null texts stay null, empty texts empty; blank lines
-belong to the chunk around them; a text of which all is removed is the empty string; rows with a null
-doc_id are never changed and never the first occurrence; of rows that share a doc_id the first
-occurrence stays in all.
+"""Line dedup: repeated multi-line chunks with content-defined boundaries, extended to the whole repeated run of lines.
+
+Of the lines of a text, those with a word are taken. A rolling hash over the hashes of the last two of them opens a new
+chunk where it is zero modulo ``MODULUS`` and was not so one line before; boundaries therefore move with the content, not
+with its place, and chunks have two lines or more and about four and a half on average. A chunk that occurs more than
+once in the table is repeated.
+
+The first and the last chunk of a repeated passage are cut by what surrounds it. Such chunks are made up for by windows
+that every line opens: the shortest one of two lines or more with ``LEAST_WORDS`` words, and the longer ones up to where
+the next line's shortest ends. Any repeated run of that size is covered by the windows within it, so a match reaches
+exactly as far on both sides as its lines are equal. A single line of ``LONG_WORDS`` words or more is a passage too.
+
+Chunks and windows are spans of lines, named by 128 bits of the SHA-256 of their lines' SHA-256. Spans are written once,
+16 bytes each besides their place, and grouped after partial aggregation in every task, so a passage that a third of the
+documents hold is one row per task. Of the occurrences of a span the first by (doc_id, line) stays. At last the bytes of
+all lines in question are compared: where two different lines have one digest, neither goes.
+
+Only built-in functions are used. Defined results: null texts stay null, empty texts empty; blank lines go only inside a
+repeated span; a text of which all is removed is the empty string; rows with a null doc_id are never changed and never
+the first occurrence; of rows that share a doc_id the first occurrence stays in all.
 """
 
 from __future__ import annotations
@@ -26,141 +25,144 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._text import SPACES, fresh, let, words_of
+from corpusloom.llm._text import fresh, let, stored, words_of
 
-WINDOW = 2
-MODULUS = 2
+MODULUS = 3
+LEAST_WORDS = 20
 LONG_WORDS = 50
+#: Places of lines (4 bytes each, and some 30 for their document).
+MOST_BROADCAST = 2_000_000
 
 
-def _long_line(line: Column) -> Column:
-    """Whether a line has LONG_WORDS words or more; short lines are settled by their length."""
-    return F.when(F.length(line) < 2 * LONG_WORDS - 1, F.lit(False)).otherwise(F.size(words_of(line)) >= LONG_WORDS)
+def _digest(line: Column) -> Column:
+    return F.sha2(line, 256)
 
 
-def chunks_of(text: Column) -> Column:
-    """array<struct<text, passage, start, stop>>: the chunks of a text in order, with their lines; joined by newlines they are the text."""
+def lines_of(text: Column) -> Column:
+    """array<struct<p, d, w>>: place, digest and number of words of every line."""
+    # Where blanks stand alone, the words of a line are its blanks and one more.
+    plain = ~F.startswith(text, F.lit(" ")) & ~F.endswith(text, F.lit(" "))
+    for odd in ("\t", "\x0b", "\x0c", "\r", "  ", " \n", "\n "):
+        plain = plain & ~F.contains(text, F.lit(odd))
+    blanks = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
 
-    def rows(line: Column) -> Column:
-        return F.struct(line.alias("t"), F.xxhash64(line).alias("h"), _long_line(line).alias("long"))
+    def rows(count):
+        return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("p"), _digest(x).alias("d"), count(x).alias("w")))
 
-    def opens(line: Column, i: Column, lines: Column) -> Column:
-        before = F.get(lines, i - 1)
-        rolled = F.xxhash64(*(F.get(lines, i - k)["h"] for k in range(WINDOW)))
-        return (i == 0) | line["long"] | before["long"] | (F.pmod(rolled, F.lit(MODULUS)) == 0)
+    return F.when(plain, rows(lambda x: F.when(F.octet_length(x) == 0, 0).otherwise(blanks(x) + 1))).otherwise(rows(lambda x: F.size(words_of(x))))
 
-    def chunk(start: Column, end: Column, lines: Column) -> Column:
-        part = F.slice(lines, start + 1, end - start)
-        worded = F.filter(part, lambda x: F.translate(x["t"], SPACES, "") != "")
-        return let(
-            part,
-            lambda p: F.struct(
-                F.array_join(F.transform(p, lambda x: x["t"]), "\n").alias("text"),
-                ((F.size(worded) >= 2) | F.exists(p, lambda x: x["long"])).alias("passage"),
-                start.alias("start"),
-                (end - 1).alias("stop"),
-            ),
-        )
 
-    def cut(lines: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: opens(F.get(lines, i), i, lines))
-        return let(
-            places,
-            lambda p: F.transform(p, lambda start, k: chunk(start, F.coalesce(F.get(p, k + 1), F.size(lines)), lines)),
-        )
+def _window_end(v: Column, i: Column) -> Column:
+    """Index of the line with which a window from line i on has two lines and LEAST_WORDS words, or null."""
 
-    return let(F.transform(F.split(text, "\n"), rows), cut)
+    def grow(acc: Column, x: Column) -> Column:
+        more = (acc["w"] < LEAST_WORDS) | (acc["n"] < 2)
+        return F.struct((acc["w"] + F.when(more, x["w"]).otherwise(0)).alias("w"), (acc["n"] + more.cast("int")).alias("n"))
 
+    none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+    # Every line has a word, so that many lines are enough.
+    slow = let(F.aggregate(F.slice(v, i + 1, LEAST_WORDS), none, grow), lambda acc: F.when((acc["w"] >= LEAST_WORDS) & (acc["n"] > 1), i + acc["n"] - 1))
+    two = F.get(v, i)["w"] + F.get(v, i + 1)["w"]
+    return F.when(two.isNull(), F.lit(None).cast("int")).when(two >= LEAST_WORDS, i + 1).otherwise(slow)
 
-def _keys(text: Column) -> tuple[Column, Column]:
-    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
+def _pairs(indices: Column, ends) -> Column:
+    return F.transform(indices, lambda i, k: F.struct(i.alias("i"), ends(i, k).alias("j")))
 
-def passages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, place (number of the chunk), passage (text) and its lines from start to stop, of every passage of every row with a doc_id."""
-    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(chunks_of(F.col(text))).alias("place", "c"))
-    return found.where("c.passage").select("doc_id", "place", F.col("c.text").alias("passage"), "c.start", "c.stop")
 
+def chunks_of(v: Column) -> Column:
+    """array<struct<i, j>>: first and last index of the content-defined chunks of two lines or more."""
+    rolled = F.transform(v, lambda x, i: F.pmod(F.xxhash64(F.get(v, i - 1)["d"], x["d"]), F.lit(MODULUS)) == 0)
 
-def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """h1, h2, first (struct of doc_id and place) and n of every passage that occurs more than once."""
-    by_text = passages(docs, text).groupBy("passage").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-    keyed = by_text.select(*_keys(F.col("passage")), "first", "n")
-    texts = keyed.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n"))
-    return texts.where("texts = 1 and n > 1").select("h1", "h2", "first", "n")
+    def cut(zero: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(zero, i) & ~F.get(zero, i - 1)))
+        chunks = let(places, lambda p: _pairs(p, lambda i, k: F.coalesce(F.get(p, k + 1), F.size(v)) - 1))
+        return F.filter(chunks, lambda c: c["j"] > c["i"])
 
+    return F.when(F.size(v) > 1, let(rolled, cut)).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
 
-def _again(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, place, start and stop of the passages that go."""
-    keyed = passages(docs, text).select("doc_id", "place", "start", "stop", *_keys(F.col("passage")))
-    again = keyed.join(repeated(docs, text), ["h1", "h2"])
-    return again.where(F.struct("doc_id", "place") != F.col("first"))
 
+def windows_of(v: Column) -> Column:
+    """array<struct<i, j>>: the windows that every line opens, and the long lines."""
 
-def removals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and places (array<int>): the chunks that go."""
-    return _again(docs, text).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    def from_line(j: Column, i: Column, ends: Column) -> Column:
+        upto = F.greatest(j, F.coalesce(F.get(ends, i + 1), F.size(v)) - 1)
+        return _pairs(F.sequence(j, upto), lambda e, _: i)
 
+    def windows(ends: Column) -> Column:
+        none = F.array().cast("array<struct<i:int,j:int>>")
+        found = F.flatten(F.transform(ends, lambda j, i: F.when(j.isNull(), none).otherwise(from_line(j, i, ends))))
+        return F.transform(found, lambda s: F.struct(s["j"].alias("i"), s["i"].alias("j")))
 
-def runs_of(text: Column) -> Column:
-    """array<struct<start, stop, key>>: runs of two lines or more with LONG_WORDS words or more, that cover any such run of the text."""
+    long = F.filter(F.transform(v, lambda x, i: F.when(x["w"] >= LONG_WORDS, F.struct(i.alias("i"), i.alias("j")))), lambda s: s.isNotNull())
+    return F.concat(let(F.transform(v, lambda x, i: _window_end(v, i)), windows), long)
 
-    def rows(line: Column, i: Column) -> Column:
-        return F.struct(i.alias("p"), F.sha2(line, 256).alias("d"), F.size(words_of(line)).alias("w"))
 
-    def last(v: Column, i: Column) -> Column:
-        """Index of the line with which the words from line i on reach LONG_WORDS, or null. Lines without words are not in v."""
+def spans_of(text: Column) -> Column:
+    """array<struct<start, stop, key>>: the chunks and windows of a text by their lines, with the digest of these lines."""
 
-        def grow(acc: Column, x: Column) -> Column:
-            more = acc["w"] < LONG_WORDS
-            return F.struct((acc["w"] + F.when(more, x["w"]).otherwise(0)).alias("w"), (acc["n"] + more.cast("int")).alias("n"))
+    def named(s: Column, v: Column, lines: Column) -> Column:
+        start, stop = F.get(v, s["i"])["p"], F.get(v, s["j"])["p"]
+        digests = F.transform(F.slice(lines, start + 1, stop - start + 1), lambda x: x["d"])
+        return F.struct(start.alias("start"), stop.alias("stop"), F.unhex(F.substring(F.sha2(F.array_join(digests, ""), 256), 1, 32)).alias("key"))
 
-        none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
-        slow = let(F.aggregate(F.slice(v, i + 1, LONG_WORDS), none, grow), lambda acc: F.when(acc["w"] >= LONG_WORDS, i + acc["n"] - 1))
-        sums = [F.get(v, i)["w"]]
-        for k in range(1, 4):
-            sums.append(sums[-1] + F.get(v, i + k)["w"])
-        found = F.when(sums[0] >= LONG_WORDS, i)
-        for k in range(1, 4):
-            found = found.when(sums[k] >= LONG_WORDS, i + k)
-        return found.when(sums[3].isNull(), F.lit(None).cast("int")).otherwise(slow)
+    def of_lines(lines: Column) -> Column:
+        return let(F.filter(lines, lambda x: x["w"] > 0), lambda v: F.transform(F.concat(chunks_of(v), windows_of(v)), lambda s: named(s, v, lines)))
 
-    def runs(v: Column, lasts: Column, lines: Column) -> Column:
-        def run(i: Column, j: Column) -> Column:
-            start, stop = F.get(v, i)["p"], F.get(v, j)["p"]
-            digests = F.transform(F.slice(lines, start + 1, stop - start + 1), lambda x: x["d"])
-            return F.struct(start.alias("start"), stop.alias("stop"), F.unhex(F.substring(F.sha2(F.array_join(digests, ""), 256), 1, 32)).alias("key"))
+    return let(lines_of(text), of_lines)
 
-        def from_line(j: Column, i: Column) -> Column:
-            upto = F.greatest(j, F.coalesce(F.get(lasts, i + 1), F.size(v)) - 1)
-            ends = F.when(j.isNull(), F.array().cast("array<int>")).otherwise(F.filter(F.sequence(j, upto), lambda e: e > i))
-            return F.transform(ends, lambda e: run(i, e))
 
-        return F.flatten(F.transform(lasts, from_line))
+def spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, start, stop and key of every span of every row with a doc_id."""
+    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(spans_of(F.col(text))).alias("s"))
+    return found.select("doc_id", "s.*")
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """key and first (struct of doc_id and start) of every span that occurs more than once."""
+    by_key = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    return by_key.where("n > 1").select("key", "first")
 
-    def of_lines(lines: Column) -> Column:
-        worded = F.filter(lines, lambda x: x["w"] > 0)
-        return let(worded, lambda v: let(F.transform(v, lambda x, i: last(v, i)), lambda lasts: runs(v, lasts, lines)))
 
-    return let(F.transform(F.split(text, "\n"), rows), of_lines)
+def _bounded(ranges: DataFrame) -> DataFrame:
+    """Stored places, to be broadcast while they are counted to be few."""
+    many = ranges.agg(F.sum(8 + F.size("_places"))).first()[0] or 0
+    return F.broadcast(ranges) if many <= MOST_BROADCAST else ranges
 
 
-def _runs_again(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, start and stop: the lines of repeated runs but those of the first occurrence."""
-    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(runs_of(F.col(text))).alias("r")).select("doc_id", "r.*")
-    firsts = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = found.join(firsts.select("key", "first"), "key").where(F.struct("doc_id", "start") != F.col("first"))
+def colliding(docs: DataFrame, met: DataFrame, text: str = "text") -> DataFrame:
+    """d: digests under which the lines of ``met`` (doc_id, start, stop) show two different texts."""
+    ranges = stored(met.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("_places")), "line-places")
+    rows = docs.select("doc_id", F.split(text, "\n").alias("_lines")).join(_bounded(ranges), "doc_id")
+    lines = rows.select(F.explode(F.transform("_places", lambda p: F.get(F.col("_lines"), p))).alias("line")).where("line is not null")
+    distinct = lines.groupBy(_digest(F.col("line")).alias("d"), "line").count()
+    return distinct.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
+
+
+def removals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and lines (array<int>, distinct): the places of the lines that go."""
+    found = stored(spans(docs, text), "line-spans")
+    firsts = stored(repeated(found), "repeated-spans")
+    met = stored(found.join(firsts, "key"), "met-spans")
+    again = met.where(F.struct("doc_id", "start") != F.col("first"))
     # An occurrence may begin within the first one.
-    own = F.when(F.col("doc_id") == F.col("first.doc_id"), F.greatest("start", F.col("first.start") + F.col("stop") - F.col("start") + 1)).otherwise(F.col("start"))
-    return again.select("doc_id", own.alias("start"), "stop").where("start <= stop")
+    inside = F.greatest("start", F.col("first.start") + F.col("stop") - F.col("start") + 1)
+    own = F.when(F.col("doc_id") == F.col("first.doc_id"), inside).otherwise(F.col("start"))
+    ranges = again.select("doc_id", own.alias("start"), "stop").where("start <= stop")
+    gone = ranges.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("lines"))
+    unequal = stored(colliding(docs, met, text), "unequal-lines")
+    if not unequal.count():
+        return gone
+    place = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("p", "line")).select("doc_id", "p", _digest(F.col("line")).alias("d"))
+    stay = place.join(unequal, "d").groupBy("doc_id").agg(F.collect_set("p").alias("stay"))
+    return gone.join(stay, "doc_id", "left").select("doc_id", F.array_except("lines", F.coalesce("stay", F.array().cast("array<int>"))).alias("lines"))
 
 
-def dedup_runs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Like :func:`dedup`, with repeated runs of lines taken out too; n_removed counts the stretches of lines that went."""
-    own, where, kept = (fresh(docs, n) for n in ("_id", "_lines", "_kept"))
-    again = _again(docs, text).select("doc_id", "start", "stop").union(_runs_again(docs, text))
-    gone = again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("lines"))
-    joined = docs.join(gone.select(F.col("doc_id").alias(own), F.col("lines").alias(where)), F.col("doc_id") == F.col(own), "left")
+def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, and n_removed (stretches of lines) and removed_chars beside it."""
+    own, where, kept = (fresh(docs, n) for n in ("_id", "_places", "_kept"))
+    gone = removals(docs, text).select(F.col("doc_id").alias(own), F.col("lines").alias(where))
+    joined = docs.join(gone, F.col("doc_id") == F.col(own), "left")
     lines = F.coalesce(F.col(where), F.array().cast("array<int>"))
     left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(lines, i))
     cut = joined.withColumn(kept, F.when(F.size(lines) > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
@@ -170,19 +172,3 @@ def dedup_runs(docs: DataFrame, text: str = "text") -> DataFrame:
         stretches.cast("long").alias(fresh(docs, "n_removed")),
         (F.length(text) - F.length(kept)).cast("long").alias(fresh(docs, "removed_chars")),
     )
-
-
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``, and n_removed (chunks) and removed_chars beside it."""
-    own, where, cut, kept = (fresh(docs, n) for n in ("_id", "_places", "_chunks", "_kept"))
-    gone = removals(docs, text).select(F.col("doc_id").alias(own), F.col("places").alias(where))
-    joined = docs.join(gone, F.col("doc_id") == F.col(own), "left")
-    places = F.coalesce(F.col(where), F.array().cast("array<int>"))
-    chunks = F.when(F.size(places) > 0, F.filter(chunks_of(F.col(text)), lambda c, i: ~F.array_contains(places, i)))
-    whole = F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(F.transform(cut, lambda c: c["text"]), "\n"))
-    left = joined.withColumn(cut, chunks).withColumn(kept, whole)
-    return left.select(
-        *(F.col(kept).alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.size(places).cast("long").alias(fresh(docs, "n_removed")),
-        (F.length(text) - F.length(kept)).cast("long").alias(fresh(docs, "removed_chars")),
-    )
