@@ -12,6 +12,7 @@ language that sorts first; a corpus with one language has one codeword and score
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,11 +101,12 @@ def fit_codes(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], rounds:
     target = code[y]
     share = 1.0 / np.bincount(y, minlength=len(languages))[y] / len(np.unique(y))
     w, bias = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    x = x.astype(np.float32, copy=False)
     for _ in range(rounds):
-        pull = target / (1 + np.exp(np.clip(target * (x @ w + bias), -30, 30))) * share[:, None]
-        w += rate * (x.T @ pull - decay * w)
+        pull = target / (1 + np.exp(np.clip(target * (x @ w.astype(np.float32) + bias), -30, 30))) * share[:, None]
+        w += rate * (x.T @ pull.astype(np.float32) - decay * w)
         bias += rate * 0.1 * pull.sum(0)
-    wrong = ((np.sign(x @ w + bias) != target) * share[:, None]).sum(0)
+    wrong = ((np.sign(x @ w.astype(np.float32) + bias) != target) * share[:, None]).sum(0)
     trust = np.log((1 - np.clip(wrong, 0.01, 0.49)) / np.clip(wrong, 0.01, 0.49))
     return LanguageModel(languages, code, w, bias, trust / trust.mean(), 1.0)
 
@@ -121,12 +123,15 @@ def fit(docs: DataFrame, per_class: int = 500) -> LanguageModel | None:
             x = [gram_vector(t).astype(np.float32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(x, pa.binary())], ["lang", "x"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in rows.mapInArrow(run, "lang string, x binary").collect())
-    if not got:
+    got = rows.mapInArrow(run, "lang string, x binary").toArrow()
+    if not got.num_rows:
         return None
-    languages = tuple(sorted({lang for lang, _ in got}))
-    x = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(len(got), DIM).astype(np.float64)
-    return fit_codes(x, np.array([languages.index(lang) for lang, _ in got]), languages)
+    lang = got.column("lang").to_pylist()
+    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in got.column("x")])
+    # The order of rows must not show in the sums.
+    order = sorted(range(len(lang)), key=lambda k: (lang[k], hashlib.blake2b(x[k], digest_size=16).digest()))
+    languages = tuple(sorted(set(lang)))
+    return fit_codes(x[order], np.array([languages.index(lang[k]) for k in order]), languages)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ambiguous_below: float = 0.1, chunk: int = 256, suffix: str = "") -> DataFrame:

@@ -10,9 +10,11 @@ or more. Candidates come from two kinds of fingerprints of the same shingles:
   similarity s agrees in one table with probability s**4, so at 0.8 it is missed with 0.59**TABLES.
 
 Every candidate pair is verified on the whole shingle sets. Copies collapse before all that by a 128-bit
-hash of the text. A bucket first pairs every member with its smallest and its largest id. What verified
-pairs then leave unconnected goes on in turns: about 4**k members by turn k meet all whose turn is still to
-come, until the bucket is connected or each of its pairs was tested, or cannot be similar by the set sizes.
+hash of the text, and buckets that have the same members count once. The pairs of a bucket of up to
+``SMALL`` members are rows, which meet across tables. A larger bucket is dealt into blocks of bounded size;
+a task has the sets of two blocks and tests all their pairs at once. Of a bucket with more than one block the
+first block meets all others; only if these pairs leave the bucket unconnected, the other blocks meet too. So each
+pair that shares a bucket is tested, unless it is connected without.
 
 Defined results: texts without a word are copies of one another; rows with a null doc_id take no part and
 always stay; rows that share a doc_id are one document; ties need no rule, groups are named by their
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._text import checkpointed, fresh, held, slices, stored
+from corpusloom.llm._text import fresh, held, slices, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import RADIUS, fingerprint, linked, shingle_digests
 
@@ -38,6 +40,10 @@ SIMILARITY = 0.8
 TABLES = 20
 #: Ids of 8 bytes.
 MOST_BROADCAST = 1_000_000
+#: Members of a bucket whose pairs are rows; members and shingles of a block.
+SMALL = 16
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 _ODD = np.random.default_rng(42).integers(1 << 62, size=TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -105,9 +111,9 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
-def paired_sets(pairs: DataFrame, docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """id and set, stored, of every document of ``pairs`` (a, b)."""
-    ids = _few(stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "paired-ids"))
+def member_sets(crowd: DataFrame, docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """id and set, stored, of every document of ``crowd`` (doc_id)."""
+    ids = _few(stored(crowd.select(F.col("doc_id").alias("_id")).distinct(), "member-ids"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
     # Rows that share a doc_id would multiply the pairs.
     return stored(_shingle_sets(rows, size).groupBy("id").agg(F.max("set").alias("set")), "shingle-sets")
@@ -128,77 +134,117 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """t, s, doc_id, n and fp: the members of every bucket (t, s) of ``reps`` (doc_id, n, fp, subs).
+    """t, s, doc_id and n: the members of every bucket (t, s) of ``reps`` (doc_id, n, fp, subs).
 
     Table ``TABLES`` is that of the balls: its buckets are the classes of :func:`linked` by their smallest
     fingerprint, so any two documents within ``RADIUS`` share one.
     """
     own = reps.select("doc_id", "n", "fp")
-    sampled = reps.select(F.posexplode("subs").alias("t", "s"), "doc_id", "n", "fp")
+    sampled = reps.select(F.posexplode("subs").alias("t", "s"), "doc_id", "n")
     distinct = own.select("fp").distinct()
     classes = stored(linked(distinct), "balls").select(F.col("a").alias("fp"), F.col("b").alias("s"))
     balls = own.join(classes.union(distinct.select("fp", F.col("fp").alias("s"))), "fp")
-    return sampled.union(balls.select(F.lit(TABLES).alias("t"), "s", "doc_id", "n", "fp"))
+    return sampled.union(balls.select(F.lit(TABLES).alias("t"), "s", "doc_id", "n"))
+
+
+def crowds(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` in buckets of two or more, one bucket for each set of members, with m (members) and blocks."""
+    own = F.xxhash64("doc_id", F.lit(5)).cast("decimal(38,0)"), F.xxhash64("doc_id", F.lit(6)).cast("decimal(38,0)")
+    sizes = members.groupBy("t", "s").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.sum(own[0]).alias("h1"), F.sum(own[1]).alias("h2")).where("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    one = sizes.groupBy("m", "size", "h1", "h2").agg(F.min(F.struct("t", "s")).alias("b")).select("b.t", "b.s", "m", blocks)
+    return members.join(one, ["t", "s"]).select("t", "s", "doc_id", "n", "m", "blocks")
+
+
+def small_pairs(crowd: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a > b, of the members of small buckets, but those whose sizes rule the similarity out."""
+    y = crowd.where(f"m <= {SMALL}").select("t", "s", "doc_id", "n")
+    x = y.select("t", "s", F.col("doc_id").alias("a"), F.col("n").alias("an"))
+    sized = F.least("n", "an") / F.greatest("n", "an") >= similarity
+    return x.join(y, ["t", "s"]).where((F.col("a") > F.col("doc_id")) & sized).select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def similar_in_block(sets: list[bytes], left: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places that connect what similar pairs of a ``left`` and another set connect."""
+    tokens = [np.frombuffer(x, "<u4") for x in sets]
+    size = np.array([len(x) for x in tokens], np.int64)
+    _, at = np.unique(np.concatenate([np.empty(0, "<u4"), *tokens]), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    mark, label, edges = np.zeros(int(at.max(initial=-1)) + 1, np.int64), np.arange(len(sets)), []
+    for i in np.flatnonzero(left & (size > 0)).tolist():
+        own = at[ends[i] : ends[i + 1]]
+        mark[own] = 1
+        common = np.diff(np.concatenate([[0], np.cumsum(mark[at])])[ends])
+        mark[own] = 0
+        near = np.flatnonzero(common / (size[i] + size - common) >= similarity)
+        for root in np.unique(label[near]).tolist():
+            if root != label[i]:
+                edges.append((i, int(near[label[near] == root][0])))
+                label[label == root] = label[i]
+    return edges
+
+
+def block_edges(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """t, s and edges (a, b) from rows (t, s, i, j, is_left, doc_id): the members of the blocks i and j of a bucket.
+
+    Those of a task are one less than its members if they connect them, else fewer.
+    """
 
+    def run(table: pa.Table) -> pa.Table:
+        held("blocks")
+        ids = table.column("doc_id").to_numpy()
+        found = similar_in_block(table.column("set").to_pylist(), table.column("is_left").to_numpy(), similarity)
+        a, b = (ids[[e[k] for e in found]] if found else np.empty(0, np.int64) for k in (0, 1))
+        bucket = [pa.array([table.column(c)[0].as_py()] * len(a), kind) for c, kind in (("t", pa.int32()), ("s", pa.int64()))]
+        return pa.table([*bucket, pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["t", "s", "a", "b"])
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b, of every document of a bucket with the smallest and the largest doc_id there."""
-    ends = members.groupBy("t", "s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    met = members.join(ends, ["t", "s"])
-    low = met.where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    high = met.where("doc_id < high").select(F.col("high").alias("a"), F.col("doc_id").alias("b"))
-    return low.union(high).distinct()
+    rows = blocks.join(sets, F.col("doc_id") == F.col("id")).select("t", "s", "i", "j", "is_left", "doc_id", "set")
+    return rows.groupBy("t", "s", "i", "j").applyInArrow(run, "t int, s bigint, a bigint, b bigint")
 
 
-def in_turns(members: DataFrame) -> DataFrame:
-    """The members of the buckets of four or more, whose pairs the two ends do not exhaust, with the turn of each.
+def _dealt(crowd: DataFrame) -> DataFrame:
+    return crowd.where(f"m > {SMALL}").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).cast("int"))
 
-    Turn k is that of about 4**k members of a bucket, by a hash of the id, so the last turn is the logarithm of the bucket.
-    """
-    sizes = members.groupBy("t", "s").agg(F.count("*").alias("m")).where("m > 3")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("m") / (1 << 30)
-    turn = F.greatest(F.coalesce(F.ceil(F.log2(share) / 2), F.lit(0)), F.lit(0)).cast("int")
-    return members.join(sizes, ["t", "s"]).select("t", "s", "doc_id", "n", "fp", turn.alias("turn"))
-
-
-def untested(members: DataFrame, roots: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs (a, b), a > b, of the members whose turn it is with those whose turn comes later, in buckets that are not connected."""
-    placed = members.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
-    apart = placed.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    live = placed.join(apart.select("t", "s"), ["t", "s"]).where(F.col("turn") >= turn)
-    x = live.where(F.col("turn") == turn).select("t", "s", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "fp", "root")))
-    later = (F.col("turn") > turn) | (F.col("doc_id") > F.col("x_doc_id"))
-    # The similarity is at most the ratio of the sizes.
-    sized = F.least("n", "x_n") / F.greatest("n", "x_n") >= similarity
-    close = (F.col("t") < TABLES) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("x_fp"))) <= RADIUS)
-    met = x.join(live, ["t", "s"]).where((F.col("root") != F.col("x_root")) & later & sized & close)
-    return met.select(F.greatest("doc_id", "x_doc_id").alias("a"), F.least("doc_id", "x_doc_id").alias("b")).distinct()
+
+def first_blocks(crowd: DataFrame) -> DataFrame:
+    """Rows for :func:`block_edges`: the first block of every large bucket with itself and each other."""
+    dealt = _dealt(crowd)
+    lead = dealt.where("block = 0").select("t", "s", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("is_left"), "doc_id")
+    rest = dealt.where("block > 0").select("t", "s", F.lit(0).alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_left"), "doc_id")
+    return lead.union(rest)
+
+
+def other_blocks(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows for :func:`block_edges`: the other blocks with one another, where those ``found`` with the first do not connect a bucket."""
+    dealt = _dealt(crowd.where("blocks > 1"))
+    # The first block is in every task.
+    needed = dealt.groupBy("t", "s").agg((F.count("*") + F.sum((F.col("block") == 0).cast("int")) * (F.first("blocks") - 1) - F.first("blocks")).alias("needed"))
+    edges = found.groupBy("t", "s").agg(F.count("*").alias("edges"))
+    apart = needed.join(edges, ["t", "s"], "left").where("coalesce(edges, 0) < needed")
+    live = dealt.join(apart.select("t", "s"), ["t", "s"]).where("block > 0")
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    met = live.withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    return met.select("t", "s", i.alias("i"), j.alias("j"), (F.col("block") == i).alias("is_left"), "doc_id")
 
 
 def connected(reps: DataFrame, docs: DataFrame, size: int, similarity: float, text: str = "text") -> DataFrame:
     """node and root of the components of all similar pairs that share a bucket."""
-    members = stored(buckets(reps), "buckets")
-    tested = checkpointed(candidates(members))
-    sets = paired_sets(tested, docs, size, text)
-    roots = components(verified(tested, sets, similarity))
-    crowd = stored(in_turns(members), "crowded-buckets")
-    last = crowd.agg(F.max("turn")).first()[0]
-    for turn in range(-1 if last is None else last + 1):
-        pairs = checkpointed(untested(crowd, roots, turn, similarity).join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(verified(pairs, sets, similarity))
-        tested = tested.union(pairs)
-        if found.count():
-            roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    return roots
+    crowd = stored(crowds(buckets(reps)), "buckets")
+    sets = member_sets(crowd, docs, size, text)
+    edges = verified(small_pairs(crowd, similarity), sets, similarity)
+    if crowd.where(f"m > {SMALL}").limit(1).count():
+        found = stored(block_edges(first_blocks(crowd), sets, similarity), "first-blocks")
+        edges = edges.union(found.select("a", "b")).union(block_edges(other_blocks(crowd, found), sets, similarity).select("a", "b"))
+    return components(edges)
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """doc_id and group_id (smallest doc_id of the group) of every document with a doc_id."""
     marked = stored(sketches(docs, size, text), "sketches")
-    copies = marked.groupBy("content").agg(F.min("doc_id").alias("rep"))
-    reps = marked.join(copies, "content").where("doc_id = rep").select("doc_id", "n", "fp", "subs").dropDuplicates(["doc_id"])
+    first = marked.groupBy("content").agg(F.min(F.struct("doc_id", "n", "fp", "subs")).alias("r"))
+    reps = stored(first.select("content", "r.*"), "representatives")
     roots = connected(reps, docs, size, similarity, text)
-    of_rep = copies.join(roots, F.col("rep") == F.col("node"), "left").select("content", F.coalesce("root", "rep").alias("group_id"))
+    of_rep = reps.join(roots, F.col("doc_id") == F.col("node"), "left").select("content", F.coalesce("root", "doc_id").alias("group_id"))
     return marked.join(of_rep, "content").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 

@@ -189,6 +189,53 @@ def test_similar_groups_with_a_base_in_the_middle(spark):
     assert {r["doc_id"]: r["group_id"] for r in got} == dict.fromkeys(texts, 1)
 
 
+def test_similar_groups_under_a_template(spark, monkeypatch):
+    """Texts that share most of their words fill large buckets; the near pairs among them are found all the same."""
+    rng = random.Random(14)
+    frame = prose(rng, 150).split()
+    texts, near = {}, []
+    for i in range(150):
+        own = [*frame, *prose(rng, 40, ["zu", "pa", "ri", "wo", "xe", "ny"]).split()]
+        other = list(own)
+        for _ in range(rng.randint(0, 3)):
+            other[rng.randrange(150, 190)] = prose(rng, 1)
+        texts[i], texts[999 - i] = " ".join(own), " ".join(other)
+    # Most pairs of strangers stay below the similarity, so buckets do not become connected at once.
+    ids = list(texts)
+    close = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if jaccard(texts[a], texts[b]) >= 0.8]
+    assert 100 < len(close) < 1000
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
+    want = {i: i for i in ids}
+    for a, b in close:
+        low, high = sorted((want[a], want[b]))
+        want = {i: low if g == high else g for i, g in want.items()}
+    for small, block in ((16, 256), (4, 16)):
+        monkeypatch.setattr(simhash_similar, "SMALL", small)
+        monkeypatch.setattr(simhash_similar, "BLOCK", block)
+        assert {r["doc_id"]: r["group_id"] for r in simhash_similar.groups(docs).collect()} == want
+
+
+def test_pairs_of_a_block():
+    rng = np.random.default_rng(15)
+    sets = [np.unique(rng.integers(0, 60, 50).astype("<u4")) for _ in range(60)]
+    sets += [np.delete(x, rng.integers(len(x))) for x in sets[:20]] + [np.empty(0, "<u4")]
+    for left in (np.ones(81, bool), np.arange(81) < 30):
+        edges = simhash_similar.similar_in_block([x.tobytes() for x in sets], left, 0.8)
+        link = lambda pairs: sorted(map(sorted, _classes(81, pairs)))
+        near = [(i, j) for i in range(81) for j in range(81) if left[i] and i != j and simhash_similar.jaccard(sets[i].tobytes(), sets[j].tobytes()) >= 0.8]
+        assert link(edges) == link(near) and len(edges) < 81
+
+
+def _classes(n, pairs):
+    of = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for i in of[b]:
+                of[i] = of[a]
+    return {id(c): c for c in of.values()}.values()
+
+
 # ---- line dedup ------------------------------------------------------------------------------------------------
 
 
