@@ -18,7 +18,7 @@ from corpusloom.tables import table
 REPOSITORY = "corpus"
 SEED = "corpus-v1"
 CUTOFF = "2030-01-01 00:00:00"
-MAX_POSTING, POOL = 100, 32
+MAX_POSTING, POOL = 50_000, 32
 
 ISSUES_SQL = """
     issues AS (
@@ -124,7 +124,9 @@ LINKS_SQL = (
         SELECT key, created, unnest(list_distinct(regexp_extract_all(replace(lower(body), 'ß', 'ss'), '[a-z0-9ı][a-z0-9ı_.+-]{1,}'))) AS term FROM issues
     ), stats AS (
         SELECT term, count(*) AS df, CAST(ln((SELECT count(*) + 1 FROM issues) / (count(*) + 1)) + 1.0 AS DECIMAL(18, 9)) AS idf
-        FROM post GROUP BY term HAVING count(*) <= 100
+        FROM post GROUP BY term HAVING count(*) <= """
+    + str(MAX_POSTING)
+    + """
     ), qterms AS (
         SELECT query_id, head, created AS qc, unnest(list_distinct(regexp_extract_all(replace(lower(qtext), 'ß', 'ss'), '[a-z0-9ı][a-z0-9ı_.+-]{1,}'))) AS term FROM queries
     ), best AS (
