@@ -113,6 +113,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
     return sc.getCheckpointDir()
 
@@ -138,6 +140,6 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the shared folder."""
+    """``checkpoint()`` in the shared folder. Its files go with the reference, where ``cleanCheckpoints`` is set for Spark's cleaner."""
     shared_dir(df.sparkSession)
     return df.checkpoint()

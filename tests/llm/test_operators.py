@@ -345,6 +345,10 @@ def test_quality_rules_against_loops(spark, edges, nothing):
 # ---- URL filter ------------------------------------------------------------------------------------------------
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def test_url_rules_and_model(spark):
     rules = (url_filter.UrlRule("allow", "org", "/"), url_filter.UrlRule("block", "example.org", "/es/"), url_filter.UrlRule("block", "com", "/de/"))
     cases = {
@@ -356,8 +360,11 @@ def test_url_rules_and_model(spark):
         "no scheme": ("", "", None, None),
         None: ("", "", None, None),
         "": ("", "", None, None),
-        "https://cheap-pills.example.net/en/9": ("cheap-pills.example.net", "/en/9", None, "block"),
-        "https://tionsh.example.net/en/77": ("tionsh.example.net", "/en/77", None, "allow"),
+        "https://luckycasino.bet/bonus": ("luckycasino.bet", "/bonus", None, "block"),
+        "https://riverlibrary.info/en/77": ("riverlibrary.info", "/en/77", None, "allow"),
+        "https://" + "long" * 5000 + ".net/" + "p" * 5000: ("long" * 5000 + ".net", "/" + "p" * 5000, None, None),
+        "http://com/de/again": ("com", "/de/again", "com/de/", "block"),
+        "HTTP://COM/de/again": ("com", "/de/again", "com/de/", "block"),
     }
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(cases)], "page_id long, url string, host string")
     model = url_filter.fit(spark)
@@ -448,6 +455,35 @@ def test_topk_with_ties_and_bad_vectors(spark):
             want = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:5]
             assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert topk_search.top_k(good.where("false"), good.where("false")).count() == 0
+    assert topk_search.top_k(good, good.where("false")).count() == topk_search.top_k(good.where("false"), good.limit(3)).count() == 0
+
+
+def test_topk_of_repeated_queries_and_extra_columns(spark):
+    rng = random.Random(16)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)], "x", 0) for i in range(1, 60)]
+    rows += [rows[49], (50, [1.0, 0.0, 0.0], "y", 1), rows[6]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string, score int")
+    good = topk_search.quantised(df)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(good, good.where("vec_id = 50"), 5).collect())
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _, _ in rows]
+    query = min(v for i, v in whole if i == 50)
+    want = sorted((-sum(a * b for a, b in zip(query, w, strict=True)), i) for i, w in whole if i != 50)[:5]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_threshold_algorithm_stops_early():
+    rng = np.random.default_rng(17)
+    z = np.zeros((2000, 32))
+    for r in z:
+        r[rng.choice(32, 3, replace=False)] = rng.pareto(1.5, 3)
+    rows = np.floor(256 * z).astype(np.int64)
+    lists = topk_search.SortedLists(np.arange(2000), rows)
+    for j in range(0, 2000, 100):
+        score = rows @ rows[j]
+        want = sorted((-int(s), i) for i, s in enumerate(score) if i != j)[:5]
+        least = int(np.sort(np.delete(score[:64], j) if j < 64 else score[:64])[-5])
+        assert lists.top(j, rows[j], 5) == lists.top(j, rows[j], 5, least=least) == [(-s, i) for s, i in want]
+    assert lists.met < 0.1 * lists.asked
 
 
 # ---- language --------------------------------------------------------------------------------------------------
