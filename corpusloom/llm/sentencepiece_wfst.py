@@ -1,21 +1,22 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled into three machines: a normaliser (blank to the space mark, the dummy prefix,
-and blank removal if the model asks for it), a lexicon transducer whose paths spell pieces and emit
-their ids, and byte fallback arcs for characters without a piece. An input is composed with them piece
-by piece; the states of the composition are (place in the input, last piece), and the tropical shortest
-path over them is the encoding.
-
-Weights. In a unigram model an arc weighs the negated score of its piece. A BPE model does not prefer
-the best sum: its result is the one sequence in which every two neighbours are stable, that is, in which
-merging their characters by score gives the two back. The composition therefore has a bigram acceptor
-that gives unstable neighbours infinite weight; all other arcs weigh one, and the path left is the
-merge result. Which of the two applies is read from the model.
-
-Text is composed run by run: no piece crosses from another character into a space mark, nor into a
-character that no piece has, so runs end there, and the paths of frequent runs are kept in a bounded
-table. Defined results: null and empty texts have no ids; decoding ids gives the text back, but for
-literal space marks (they become blanks) and lone surrogates; unknown ids are an error.
+A model file is compiled into three machines of states and arcs: a normaliser (blank to the space mark, the dummy
+prefix, and blank removal if the model asks for it), a lexicon whose paths spell pieces and whose final states emit
+their ids with a weight, and the byte fallback, a path of byte ids for a character that no piece has. An input is composed
+with the normaliser and the result with the lexicon and the fallback, state by state as it is reached; the states of the
+composition are (place in the input, last piece), and its tropical shortest path is the encoding.
+
+Weights. In a unigram model a piece weighs its negated score. A BPE model does not prefer the best sum: its result is
+the one sequence in which every two neighbours are stable, that is, in which merging their characters by score gives
+the two back. The composition therefore has a bigram acceptor that gives unstable neighbours infinite weight; all pieces
+weigh one, and a single path of finite weight is left, the merge result. Which of the two applies is read from the
+model.
+
+Text is composed run by run: no piece crosses from another character into a space mark, nor into a character that no
+piece has, so runs end there, and the paths of frequent runs are kept in a bounded table. Models with a character map
+are not compiled. Defined results: null and empty texts have no ids; rows are encoded one by one, so repeated rows get
+equal ids; of paths of equal weight the one whose last piece is longest is taken; decoding ids gives the text back, but
+for literal space marks (they become blanks) and lone surrogates; unknown ids are an error.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from corpusloom.llm._text import fresh, held, slices
+from corpusloom.llm._text import RecentTable, fresh, held, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -93,42 +94,72 @@ class Model:
         self.bytes_at = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
 
 
+#: States of the normaliser: before any text, after a character, and after blanks that may be dropped.
+START, WITHIN, BLANKS = 0, 1, 2
+
+
+def normaliser(m: Model) -> dict[tuple[int, bool], tuple[int, str, bool]]:
+    """Arcs by (state, whether the character is a blank): next state, what is put out first, and whether the character follows."""
+    mark = MARK if m.escape else " "
+    prefix = mark if m.dummy_prefix else ""
+    if m.remove_extra:
+        return {
+            (START, True): (START, "", False),
+            (START, False): (WITHIN, prefix, True),
+            (WITHIN, True): (BLANKS, "", False),
+            (WITHIN, False): (WITHIN, "", True),
+            (BLANKS, True): (BLANKS, "", False),
+            (BLANKS, False): (WITHIN, mark, True),
+        }
+    return {
+        (START, True): (WITHIN, prefix + mark, False),
+        (START, False): (WITHIN, prefix, True),
+        (WITHIN, True): (WITHIN, mark, False),
+        (WITHIN, False): (WITHIN, "", True),
+    }
+
+
+class Lexicon:
+    """Arcs from state to state by characters; a final state has the id and the weight of the piece spelled on the way."""
+
+    def __init__(self) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ids: list[int] = [-1]
+        self.weights: list[float] = [INFINITE]
+
+    def add(self, piece: str, number: int, weight: float) -> None:
+        state = 0
+        for c in piece:
+            state = self.arcs[state].setdefault(c, len(self.arcs))
+            if state == len(self.arcs):
+                self.arcs.append({})
+                self.ids.append(-1)
+                self.weights.append(INFINITE)
+        self.ids[state], self.weights[state] = number, weight
+
+
 class Transducer:
     """The compiled machines of one model, and what has been composed with them so far."""
 
-    def __init__(self, data: bytes, most_runs: int = 500_000, most_pairs: int = 600_000):
+    def __init__(self, data: bytes, most_bytes: int = 96 << 20, most_pairs: int = 600_000):
         self.model = m = Model(data)
-        self.ids = {p: i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k in (NORMAL, USER)}
-        self.score = dict(zip(self.ids, (m.scores[i] for i in self.ids.values()), strict=True))
-        ends: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 1 and (m.algorithm == UNIGRAM or self.merged(p) == [p]):
-                ends.setdefault(p[-3:], set()).add(len(p))
-        for key in [k for k in ends if len(k) == 3 and k[1:] in ends]:
-            ends[key] |= {2}
-        # Lexicon arcs by the last three characters (two at the start): lengths of the pieces that end so, longest first.
-        self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
-        known = {c for p in self.ids for c in p}
+        self.bpe = m.algorithm == BPE
+        spelled = {p: i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k in (NORMAL, USER)}
+        self.score = {p: m.scores[i] for p, i in spelled.items()}
+        self.normaliser, self.lexicon = normaliser(m), Lexicon()
+        for p, i in spelled.items():
+            # In a merge model a piece that its own merges do not give is on no path.
+            if not self.bpe or len(p) == 1 or self.merged(p) == [p]:
+                self.lexicon.add(p, i, 1.0 if self.bpe else -self.score[p])
+        self.known = {c for p in spelled for c in p}
         self.decoded = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
-        inner = {p for p in self.ids if MARK in p.lstrip(MARK)}
-        alone = [c for c in " \t\n\r" if c not in known]
-        cut = "".join(map(re.escape, alone))
-        # With pieces that hold a mark further in, an input is one run.
-        self.run = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+|[{cut}]" if cut and not inner else f"{MARK}*[^{MARK}]+|{MARK}+" if not inner else "(?s:.+)")
-        self.runs: dict[str, bytes] = {}
-        self.old_runs: dict[str, bytes] = {}  # the generation before, from which frequent runs are taken over
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.most_runs, self.most_pairs = most_runs, most_pairs
-
-    def normalise(self, text: str) -> str:
-        m = self.model
-        if m.remove_extra:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        if m.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if m.escape else text
+        cut = "".join(re.escape(c) for c in "\t\n\r" if c not in self.known)
+        # With pieces that hold a mark further in, or blanks that stay as they are, an input is one run.
+        whole = not m.escape or any(MARK in p.lstrip(MARK) for p in spelled)
+        self.run = re.compile("(?s:.+)" if whole else f"[ {MARK}]*(?:[^ {MARK}{cut}]+{f'|[{cut}]' if cut else ''})|[ {MARK}]+")
+        self.first, self.later = (RecentTable(lambda run, at=state: self.composed(run, at), size) for state, size in ((START, most_bytes // 8), (WITHIN, most_bytes)))
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.most_pairs = most_pairs
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text merged by score, leftmost first among equals."""
@@ -144,88 +175,82 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stable(self, left: str, right: str) -> bool:
+    def stable(self, left: int, right: int) -> bool:
+        """The bigram acceptor: whether the two pieces stay as they are."""
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+            a, b = self.model.pieces[left], self.model.pieces[right]
+            found = self.pairs[key] = self.merged(a + b) == [a, b]
         return found
 
     def fallback(self, c: str) -> list[int]:
-        """Arcs for a character without a piece: its bytes, or the unknown id."""
+        """Ids on the path of a character without a piece: its bytes, or the unknown id."""
         m = self.model
         if m.byte_fallback and m.bytes_at:
             return [m.bytes_at[x] for x in c.encode("utf-8", "replace")]
         return [m.unknown]
 
-    def shortest_path(self, run: str) -> list[int]:
-        """Ids on the path of least weight through the composition of one run with the machines."""
-        n, bpe = len(run), self.model.algorithm == BPE
+    def normalise(self, text: str, state: int = START) -> str:
+        """What the normaliser puts out for a text, from a state on."""
+        out = []
+        for c in text:
+            state, before, follows = self.normaliser[state, c == " "]
+            out.append(before + c if follows else before)
+        return "".join(out)
+
+    def shortest_path(self, text: str) -> list[int]:
+        """Ids on the path of least weight through the composition of a normalised run with the lexicon and the fallback."""
+        n, bpe, pairs, known = len(text), self.bpe, self.pairs, self.known
+        arcs, ids, weights = self.lexicon.arcs, self.lexicon.ids, self.lexicon.weights
         weight: list[float] = [0.0] + [INFINITE] * n
-        last: list[str] = [""] * (n + 1)  # the last piece of the best path to each place; "" at the start and after a fallback
+        last = [-1] * (n + 1)  # the piece that ends at each place on its best path; -1 at the start and after a fallback
         back = [0] * (n + 1)
-        ids, score = self.ids, self.score
-        pairs, arcs, two = self.pairs, self.ends, (2,)
-        for end in range(1, n + 1):
-            c3 = run[end - 3 : end] if end > 2 else run[:end]
-            sizes = arcs.get(c3)
-            if sizes is None:
-                sizes = two if end > 1 and run[end - 2 : end] in arcs else ()
-            for size in sizes:
-                start = end - size
-                if start < 0 or weight[start] == INFINITE:
-                    continue
-                piece = run[start:end]
-                if piece not in ids:
-                    continue
-                if bpe:
-                    before = last[start]
-                    ok = True if not before else pairs.get((before, piece))
-                    if ok or (ok is None and self.stable(before, piece)):
-                        weight[end], back[end], last[end] = weight[start] + 1.0, start, piece
-                        break  # no second sequence of stable neighbours spells the same characters
-                elif weight[start] - score[piece] < weight[end]:
-                    weight[end], back[end], last[end] = weight[start] - score[piece], start, piece
-            c = run[end - 1]
-            if weight[end - 1] == INFINITE or (bpe and weight[end] < INFINITE):
+        for start in range(n):
+            so_far = weight[start]
+            if so_far == INFINITE:
                 continue
-            if c not in ids:
-                weight[end], back[end] = weight[end - 1] + 100.0, end - 1
-            elif bpe:
-                if not last[end - 1] or self.stable(last[end - 1], c):
-                    weight[end], back[end], last[end] = weight[end - 1] + 1.0, end - 1, c
-            elif weight[end - 1] - score[c] < weight[end]:
-                weight[end], back[end], last[end] = weight[end - 1] - score[c], end - 1, c
+            before, state = last[start], 0
+            for end in range(start, n):
+                state = arcs[state].get(text[end])
+                if state is None:
+                    break
+                piece = ids[state]
+                # A merge model has no second path of finite weight.
+                if piece < 0 or so_far + weights[state] >= weight[end + 1] or (bpe and weight[end + 1] < INFINITE):
+                    continue
+                if bpe and before >= 0:
+                    fits = pairs.get((before, piece))
+                    if not (self.stable(before, piece) if fits is None else fits):
+                        continue
+                weight[end + 1], back[end + 1], last[end + 1] = so_far + weights[state], start, piece
+            if text[start] not in known and so_far + 100.0 < weight[start + 1]:
+                weight[start + 1], back[start + 1], last[start + 1] = so_far + 100.0, start, -1
         out: list[list[int]] = []
         end = n
         while end:
-            start = back[end]
-            out.append([ids[last[end]]] if last[end] else self.fallback(run[start:end]))
-            end = start
+            out.append([last[end]] if last[end] >= 0 else self.fallback(text[end - 1]))
+            end = back[end]
         return [i for part in reversed(out) for i in part]
 
+    def composed(self, run: str, state: int) -> bytes:
+        """Ids of one run of raw text, little-endian and of 32 bits, from a state of the normaliser on."""
+        ids = self.shortest_path(self.normalise(run, state))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if not text:
             return b""
-        runs = self.run.findall(self.normalise(text))
-        table = self.runs
-        try:
-            return b"".join(map(table.__getitem__, runs))
-        except KeyError:
-            if len(table) > self.most_runs:
-                self.old_runs, self.runs = table, {}
-                table = self.runs
-            for r in runs:
-                if r not in table:
-                    known = self.old_runs.get(r)
-                    if known is None:
-                        ids = self.shortest_path(r)
-                        known = struct.pack(f"<{len(ids)}I", *ids)
-                    table[r] = known
-            return b"".join(map(table.__getitem__, runs))
+        if self.model.remove_extra:
+            text = text.lstrip(" ")
+        runs = self.run.findall(text)
+        if not runs:
+            return b""
+        first = self.first.turn()[runs[0]]
+        return first + b"".join(map(self.later.turn().__getitem__, runs[1:]))
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian 32-bit ids."""

@@ -116,7 +116,7 @@ def fit(spark: SparkSession, labelled: tuple[tuple[str, int], ...] | None = None
     return UrlModel(bias, tuple(w.tolist()))
 
 
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...], model: UrlModel, url: str = "url", keep: tuple[str, ...] = ("page_id",), threshold: float = 0.42) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...], model: UrlModel, url: str = "url", keep: tuple[str, ...] = ("page_id",), threshold: float = 0.46) -> DataFrame:
     """``keep``, host, path, rule, block_probability and verdict of every row."""
     parts = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     scored = parts.select(

@@ -520,7 +520,7 @@ MODEL = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
 
 def test_transducer_equals_the_library():
     rng = random.Random(12)
-    fst, own = sentencepiece_wfst.Transducer(MODEL, most_runs=50, most_pairs=100), sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    fst, own = sentencepiece_wfst.Transducer(MODEL, most_bytes=1 << 14, most_pairs=100), sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     texts = ["", " ", "  hello  wörld\n日本 ﬁ", "a\x00b▁c", "<s> </s><0x0A>", " " * 40 + "x", "🙂🙂 x", "\tdef f(x):\n        return x", "aaaaaaaaaaaaaaaa"]
     texts += ["".join(rng.choice("abcdeht  \nion é.,") for _ in range(120)) for _ in range(200)]
     for t in texts:
@@ -538,6 +538,37 @@ def test_unigram_paths_take_the_best_sum():
     fst = sentencepiece_wfst.Transducer(model)
     assert np.frombuffer(fst.encode("ab"), "<u4").tolist() == [5, 3]
     assert np.frombuffer(fst.encode("b?"), "<u4").tolist() == [1, 3, 0]
+    # Against every path, with blanks that are removed.
+    rng, pieces = random.Random(18), {"▁": -3, "a": -2, "b": -2, "ab": -3.5, "▁a": -2.5}
+
+    def best(text):
+        if not text:
+            return 0.0
+        return max(([s + best(text[len(p) :]) for p, s in pieces.items() if text.startswith(p)]) + ([best(text[1:]) - 100] if text[0] not in pieces else []))
+
+    total = lambda ids: sum({1: -3, 2: -2, 3: -2, 4: -3.5, 5: -2.5, 0: -100}[i] for i in ids)
+    trimming = sentencepiece_wfst.Transducer(model[:-1] + b"\x01")
+    for _ in range(300):
+        text = "".join(rng.choice("ab  ?\n") for _ in range(rng.randint(1, 9)))
+        kept = " ".join(x for x in text.split(" ") if x)
+        assert total(np.frombuffer(fst.encode(text), "<u4").tolist()) == best("▁" + text.replace(" ", "▁"))
+        assert total(np.frombuffer(trimming.encode(text), "<u4").tolist()) == (best("▁" + kept.replace(" ", "▁")) if kept else 0)
+
+
+def test_normaliser_arcs():
+    class Kind:
+        escape, dummy_prefix, remove_extra = True, True, True
+
+    def walk(kind, text):
+        arcs, state, out = sentencepiece_wfst.normaliser(kind), sentencepiece_wfst.START, ""
+        for c in text:
+            state, before, follows = arcs[state, c == " "]
+            out += before + (c if follows else "")
+        return out
+
+    assert walk(Kind, "  a  b ") == "▁a▁b"
+    Kind.remove_extra = False
+    assert walk(Kind, "  a  b ") == "▁▁▁a▁▁b▁"
 
 
 def test_encode_and_decode_frames(spark, edges, nothing):
