@@ -5,8 +5,8 @@ block of queries, both of bounded size. Per block every dimension has its rows s
 queries of the task. A query reads its lists from the end that its sign prefers, at each step further in those
 whose next values lower its bound most; every row met is scored in full. The values at the depths reached bound
 the score of any row not met, so a query stops when that bound is below its k-th score (a bound equal to it
-might still hide a smaller id). The k-th score of a block of ``seed_rows`` rows, found first, is a bound from
-below for all blocks. The k best of the blocks are then merged per query.
+might still hide a smaller id), or below the k-th score among the first ``seed_rows`` rows of the block, found before.
+The k best of the blocks are then merged per query.
 
 Vectors are quantised to floor(scale * x). Defined results: vectors that are null or empty, hold a null or
 non-finite component, have a null id, or have another length than the query take no part; ties go to the
@@ -44,8 +44,15 @@ class SortedLists:
         self.ids, self.rows = ids[order], rows[order]
         self.order = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.rows, self.order, 0)
+        self.floats, self.most = self.rows.astype(np.float64), int(np.abs(self.rows).max(initial=0))
         self.asked = self.met = 0  # rows that queries could meet, and those they met
 
+    def score(self, places: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Inner products; in floating point where all sums are whole numbers that it holds exactly."""
+        if self.most * int(np.abs(q).max(initial=0)) * len(q) < 1 << 53:
+            return (self.floats[places] @ q.astype(np.float64)).astype(np.int64)
+        return self.rows[places] @ q
+
     def top(self, query_id: int, q: np.ndarray, k: int, step: int = 16, least: int | None = None) -> list[tuple[int, int]]:
         """(score, id) of the k best rows: best score first, then smaller id; rows that score below ``least`` may be missing."""
         n = len(self.ids)
@@ -67,10 +74,12 @@ class SortedLists:
             reach = int((stop - depth).max())
             at = np.minimum(depth[None, :] + np.arange(reach)[:, None], stop[None, :] - 1)
             seen = self.order[np.where(down[None, :], n - 1 - at, at), dims[None, :]].ravel()
-            new = np.unique(seen[~met[seen]])
+            fresh = np.zeros(n, bool)
+            fresh[seen] = True
+            new = np.flatnonzero(fresh & ~met)
             if len(new):
                 met[new] = True
-                s = np.concatenate([best_s, self.rows[new] @ q])
+                s = np.concatenate([best_s, self.score(new, q)])
                 i = np.concatenate([best_i, self.ids[new]])
                 keep = np.lexsort((i, -s))[:k]
                 best_s, best_i = s[keep], i[keep]
@@ -108,9 +117,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 163
             if not mine.num_rows:
                 continue
             ids, vectors = mine.column("vec_id").to_numpy(), _array(mine.column("q"), n)
-            lists, seed = SortedLists(ids, vectors), vectors[:seed_rows]
+            lists = SortedLists(ids, vectors)
+            seed = np.arange(min(seed_rows, len(ids)))
             for i, q in zip(asked.column("vec_id").to_pylist(), _array(asked.column("q"), n), strict=True):
-                known = (seed @ q)[ids[: len(seed)] != i]
+                known = lists.score(seed, q)[lists.ids[seed] != i]
                 least = int(np.partition(known, len(known) - k)[len(known) - k]) if len(known) >= k else None
                 out += [(i, x, s) for s, x in lists.top(i, q, k, least=least)]
         columns = zip(*out, strict=True) if out else ((), (), ())
