@@ -134,16 +134,63 @@ CHECKS = (
 @query("corpus_violations", "SELECT unnest([" + ", ".join(f"'{c}'" for c in CHECKS) + "]) AS \"check\", CAST(0 AS BIGINT) AS violations")
 def corpus_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks of an export built from the corpus itself; a sound export breaks none."""
+    made = export(spark, sf_dir)
+    train, heldout = B.membership(spark, sf_dir)
+    checks = validate.violations(*made, B.CUTOFF, B.SEED)
+    return validate.counts(checks | validate.membership_sets(train, heldout, heldout, B.rows(spark, sf_dir)))
+
+
+def export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Documents, provenance, ledger, canonical rows, and the held-out hashes of texts and descriptions."""
     identities = cut(built(spark, sf_dir))  # a dozen checks read them
     placed = cut(corpus.shards(identities.where("is_representative"), SHARD))
     aliases = identities.where("reason is null and not is_representative").groupBy("representative_uid").agg(F.array_sort(F.collect_list("uid")).alias("_a"))
     full = placed.drop("representative_uid").join(aliases, placed["uid"] == aliases["representative_uid"], "left")
     provenance = full.select(F.col("uid").alias("issue_uid"), "text_hash", "group_hash", "split", "shard", "row_index", F.coalesce("_a", F.array().cast("array<string>")).alias("dedup_aliases"))
     ledger = identities.where("reason is null").select(F.col("uid").alias("issue_uid"), "representative_uid", "text_hash", "group_hash")
-    held = corpus.heldout_hashes(identities)
-    train, heldout = B.membership(spark, sf_dir)
-    checks = validate.violations(placed.select("split", "shard", "row_index", "text"), provenance, ledger, identities, *held, B.CUTOFF, B.SEED)
-    return validate.counts(checks | validate.membership_sets(train, heldout, heldout, B.rows(spark, sf_dir)))
+    return placed.select("split", "shard", "row_index", "text"), provenance, ledger, identities, *corpus.heldout_hashes(identities)
+
+
+#: What the faults of :func:`planted_violations` break; ``a`` is the number of aliases of the fourth row.
+PLANTED = {
+    "ledger_uid_unique": "1", "rows_align": "1", "text_not_empty": "1", "text_hash_right": "2", "text_hash_unique": "1", "row_index_dense": "1", "identity_once": "1",
+    "canonical_train": "1", "before_cutoff": "1", "canonical_hash": "a + 2", "canonical_text": "1", "ledger_matches": "2 * a + 4", "no_heldout_text": "1", "all_represented": "1",
+}
+
+
+@query(
+    "planted_violations",
+    "WITH" + B.BUILT_SQL + """, fourth AS (
+        SELECT text_hash FROM built WHERE is_representative AND split = 'train' ORDER BY created, uid LIMIT 1 OFFSET 3
+    ), extra AS (SELECT count(*) AS a FROM built WHERE NOT is_representative AND text_hash IN (SELECT text_hash FROM fourth))
+    SELECT unnest(["""
+    + ", ".join(f"'{c}'" for c in CHECKS if not c.startswith(("train_", "heads_", "members_")))
+    + "]) AS \"check\", CAST(unnest(["
+    + ", ".join(PLANTED.get(c, "0") for c in CHECKS if not c.startswith(("train_", "heads_", "members_")))
+    + "]) AS BIGINT) AS violations FROM extra",
+)
+def planted_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on an export with one fault of each kind in the first shard of the training split."""
+    documents, provenance, ledger, canonical, texts, descriptions = export(spark, sf_dir)
+    rows = {r["row_index"]: r for r in provenance.where("split = 'train' and shard = 0 and row_index < 12").select("row_index", "issue_uid", "text_hash").collect()}
+    uid = lambda k: rows[k]["issue_uid"]
+    at = lambda k: (F.col("split") == "train") & (F.col("shard") == 0) & (F.col("row_index") == k)
+    # Row 1 has lost its text, row 2 its document.
+    documents = documents.withColumn("text", F.when(at(1), "").otherwise(F.col("text"))).where(~at(2))
+    # Row 3 has the hash of row 4, row 8 claims row 9 as an alias.
+    aliases = F.when(at(8), F.array_append("dedup_aliases", uid(9))).otherwise(F.col("dedup_aliases"))
+    provenance = provenance.withColumn("text_hash", F.when(at(3), rows[4]["text_hash"]).otherwise(F.col("text_hash"))).withColumn("dedup_aliases", aliases)
+    # Row 5 is twice in the ledger.
+    ledger = ledger.unionByName(ledger.where(F.col("issue_uid") == uid(5)))
+    # Row 6 is held out, row 7 too new, and one row is nowhere in the export.
+    own = F.col("uid")
+    ghost = canonical.where(own == uid(11)).withColumn("uid", F.lit("ghost"))
+    membership = F.when(own == uid(6), "heldout").otherwise(F.col("membership"))
+    created = F.when(own == uid(7), "2031-01-01 00:00:00").otherwise(F.col("created"))
+    canonical = canonical.withColumn("membership", membership).withColumn("created", created).unionByName(ghost)
+    # The text of row 10 is a held-out one.
+    texts = texts.unionByName(spark.createDataFrame([(rows[10]["text_hash"],)], "text_hash string"))
+    return validate.counts(validate.violations(documents, provenance, ledger, canonical, texts, descriptions, B.CUTOFF, B.SEED))
 
 
 @query(
