@@ -40,5 +40,21 @@ def softmax_pair(a: Column, b: Column) -> Column:
     return F.exp(a - top) / (F.exp(a - top) + F.exp(b - top))
 
 
+def log_likelihood(log_probs: Column, mean: bool = False) -> Column:
+    """The log-likelihood of a completion from those of its tokens: their sum, or mean (null without a token)."""
+    total = F.aggregate(log_probs, F.lit(0.0), lambda acc, x: acc + x)
+    return F.try_divide(total, F.size(log_probs).cast("double")) if mean else total
+
+
+def completion_share(valid: Column, invalid: Column, mean: bool = False) -> Column:
+    """Probability of the first of two completions, given the log-probabilities of their tokens."""
+    return softmax_pair(log_likelihood(valid, mean), log_likelihood(invalid, mean))
+
+
+def ordered_unique(values: Column) -> Column:
+    """The values of an array in the order of their first occurrence."""
+    return F.array_distinct(values)
+
+
 def slug(text: Column) -> Column:
     return F.translate(text, "/_", "--")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import numeric
 from corpusloom.functions import text as T
 from corpusloom.operators import metrics, outputs, records, sampling, sinks, token_blocks
 from corpusloom.plans.registry import query
@@ -185,24 +186,57 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("stream_round_robin", """WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS turn FROM documents), s AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM documents GROUP BY lang))
-    SELECT doc_id, turn * 4 + CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS position FROM n, s WHERE turn < m""")
-def stream_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+STREAMS_SQL = """WITH s AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS no, c FROM (SELECT lang, count(*) AS c FROM documents GROUP BY lang))"""
+
+
+def streams(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The documents (doc_id, lang) of every language, null first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return sampling.round_robin([docs.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")], ["doc_id"]).select("doc_id", "position")
+    found = [r["lang"] for r in docs.select("lang").distinct().collect()]
+    return [docs.where(F.col("lang").eqNullSafe(x)) for x in sorted(found, key=lambda x: (x is not None, x))]
+
+
+@query("stream_round_robin", STREAMS_SQL + """, n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS turn FROM documents)
+    SELECT doc_id, turn * (SELECT count(*) FROM s) + no AS position FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang WHERE turn < (SELECT min(c) FROM s)""")
+def stream_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.round_robin(streams(spark, sf_dir), ["doc_id"]).select("doc_id", "position")
 
 
-@query("stream_concat", "SELECT doc_id, CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS INTEGER) AS source_no FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')")
+@query("stream_concat", STREAMS_SQL + " SELECT doc_id, CAST(no AS INTEGER) AS source_no FROM documents d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang")
 def stream_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return sampling.concatenate([docs.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")]).select("doc_id", "source_no")
+    return sampling.concatenate(streams(spark, sf_dir)).select("doc_id", "source_no")
 
 
 @query("stream_weighted")
 def stream_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in given proportions until all are exhausted; statistical, so without an oracle."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return sampling.weighted_interleave([docs.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")], [0.2, 0.4, 0.2, 0.2], ["doc_id"])
+    sources = streams(spark, sf_dir)
+    shares = [1 + k % 2 for k in range(len(sources))]
+    return sampling.weighted_interleave(sources, [x / sum(shares) for x in shares], ["doc_id"])
+
+
+@query(
+    "completion_scores",
+    """WITH s AS (SELECT l_orderkey, sum(-CAST(l_discount AS DOUBLE)) AS v, sum(-CAST(l_tax AS DOUBLE)) AS i, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey, round(v, 9) AS valid, round(v / n, 9) AS valid_mean, round(1 / (1 + exp(i - v)), 9) AS share, round(1 / (1 + exp((i - v) / n)), 9) AS share_of_means FROM s""",
+)
+def completion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order stand for the tokens of two completions, discount and tax for their log-probabilities."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(-F.col("l_discount").cast("double"), -F.col("l_tax").cast("double"))).alias("t"))
+    valid, invalid = F.transform("t", lambda x: x["col1"]), F.transform("t", lambda x: x["col2"])
+    columns = {"valid": numeric.log_likelihood(valid), "valid_mean": numeric.log_likelihood(valid, mean=True), "share": numeric.completion_share(valid, invalid), "share_of_means": numeric.completion_share(valid, invalid, mean=True)}
+    return lines.select("l_orderkey", *(F.round(c, 9).alias(k) for k, c in columns.items()))
+
+
+@query(
+    "ordered_roles",
+    "SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles, replace(replace(string_agg(role, '/' ORDER BY t), '/', '-'), '_', '-') AS slug FROM (SELECT conv_id, role, min(turn) AS t FROM conversations WHERE role IS NOT NULL GROUP BY ALL) GROUP BY conv_id",
+)
+def ordered_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roles of a conversation in the order in which they first speak, and a name made of them."""
+    turns = table(spark, sf_dir, "conversations").where("role is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    roles = numeric.ordered_unique(F.transform("t", lambda x: x["role"]))
+    return turns.select("conv_id", F.array_join(roles, ",").alias("roles"), numeric.slug(F.array_join(roles, "/")).alias("slug"))
 
 
 @query("parse_tail_output")
