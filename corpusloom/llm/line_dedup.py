@@ -22,7 +22,7 @@ the first occurrence; of rows that share a doc_id the first occurrence stays in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._text import fresh, let, stored, words_of
@@ -30,8 +30,8 @@ from corpusloom.llm._text import fresh, let, stored, words_of
 MODULUS = 3
 LEAST_WORDS = 20
 LONG_WORDS = 50
-#: Places of lines (4 bytes each, and some 30 for their document).
-MOST_BROADCAST = 2_000_000
+#: Digests shared by different lines (64 bytes each) that are sent to all tasks. None is known of SHA-256; more are an error.
+MOST_UNEQUAL = 1_000
 
 
 def _digest(line: Column) -> Column:
@@ -119,54 +119,63 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """key and first (struct of doc_id and start) of every span that occurs more than once."""
-    by_key = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    return by_key.where("n > 1").select("key", "first")
+    """key and first_id (the smallest doc_id) of every span that occurs more than once."""
+    by_key = found.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    return by_key.where("n > 1").select("key", "first_id")
 
 
-def _bounded(ranges: DataFrame) -> DataFrame:
-    """Stored places, to be broadcast while they are counted to be few."""
-    many = ranges.agg(F.sum(8 + F.size("_places"))).first()[0] or 0
-    return F.broadcast(ranges) if many <= MOST_BROADCAST else ranges
+def _lines_in(spans_: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(spans_, lambda s: F.sequence(s["start"], s["stop"]))))
 
 
-def colliding(docs: DataFrame, met: DataFrame, text: str = "text") -> DataFrame:
-    """d: digests under which the lines of ``met`` (doc_id, start, stop) show two different texts."""
-    ranges = stored(met.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("_places")), "line-places")
-    rows = docs.select("doc_id", F.split(text, "\n").alias("_lines")).join(_bounded(ranges), "doc_id")
-    lines = rows.select(F.explode(F.transform("_places", lambda p: F.get(F.col("_lines"), p))).alias("line")).where("line is not null")
-    distinct = lines.groupBy(_digest(F.col("line")).alias("d"), "line").count()
-    return distinct.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
-
-
-def removals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and lines (array<int>, distinct): the places of the lines that go."""
+def places(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per document with repeated spans: doc_id, seen (the places of all their lines) and gone (of those that go, if bytes agree)."""
     found = stored(spans(docs, text), "line-spans")
-    firsts = stored(repeated(found), "repeated-spans")
-    met = stored(found.join(firsts, "key"), "met-spans")
-    again = met.where(F.struct("doc_id", "start") != F.col("first"))
-    # An occurrence may begin within the first one.
-    inside = F.greatest("start", F.col("first.start") + F.col("stop") - F.col("start") + 1)
-    own = F.when(F.col("doc_id") == F.col("first.doc_id"), inside).otherwise(F.col("start"))
-    ranges = again.select("doc_id", own.alias("start"), "stop").where("start <= stop")
-    gone = ranges.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("lines"))
-    unequal = stored(colliding(docs, met, text), "unequal-lines")
-    if not unequal.count():
-        return gone
-    place = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("p", "line")).select("doc_id", "p", _digest(F.col("line")).alias("d"))
-    stay = place.join(unequal, "d").groupBy("doc_id").agg(F.collect_set("p").alias("stay"))
-    return gone.join(stay, "doc_id", "left").select("doc_id", F.array_except("lines", F.coalesce("stay", F.array().cast("array<int>"))).alias("lines"))
+    met = stored(found.join(repeated(found), "key"), "met-spans")
+    # Within the document of the first occurrence, the one that begins first stays, and others may begin within it.
+    within = met.where("doc_id = first_id").withColumn("s0", F.min("start").over(Window.partitionBy("doc_id", "key")))
+    inside = F.greatest("start", F.col("s0") + F.col("stop") - F.col("start") + 1)
+    within = within.select("doc_id", "start", "stop", F.when(F.col("start") != F.col("s0"), inside).alias("own"))
+    others = met.where("doc_id != first_id").select("doc_id", "start", "stop", F.col("start").alias("own"))
+    goes = F.when(F.col("own") <= F.col("stop"), F.struct(F.col("own").alias("start"), "stop"))
+    by_doc = within.union(others).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("seen"), F.collect_set(goes).alias("gone"))
+    return stored(by_doc.select("doc_id", _lines_in(F.col("seen")).alias("seen"), _lines_in(F.col("gone")).alias("gone")), "line-places")
+
+
+def unequal(joined: DataFrame, text: str, seen: str, others: list[str]) -> DataFrame:
+    """One row with ``digests``: those under which the lines of ``seen`` show two different texts.
+
+    The other columns are read too, so that the texts are shuffled once for this and for the removal (a reused exchange).
+    """
+    line = let(F.split(F.col(text), "\n"), lambda lines: F.transform(F.col(seen), lambda p: F.get(lines, p)))
+    # Not a plain explode: its filter would make another join, with a shuffle of its own.
+    lines = joined.select(F.xxhash64(*(F.col(c) for c in others)).alias("_row"), F.explode_outer(line).alias("line"))
+    distinct = lines.groupBy(_digest(F.col("line")).alias("d"), "line").agg(F.max("_row").alias("_row"))
+    several = distinct.groupBy("d").agg(F.count("*").alias("n"), F.max("_row").alias("_row")).where("n > 1 and _row is not null and d is not null")
+    few = several.select("d").limit(MOST_UNEQUAL + 1).agg(F.collect_list("d").alias("digests"))
+    return few.select(F.when(F.size("digests") > MOST_UNEQUAL, F.raise_error(F.lit("too many different lines share a SHA-256"))).otherwise(F.col("digests")).alias("digests"))
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and n_removed (stretches of lines) and removed_chars beside it."""
-    own, where, kept = (fresh(docs, n) for n in ("_id", "_places", "_kept"))
-    gone = removals(docs, text).select(F.col("doc_id").alias(own), F.col("lines").alias(where))
-    joined = docs.join(gone, F.col("doc_id") == F.col(own), "left")
-    lines = F.coalesce(F.col(where), F.array().cast("array<int>"))
-    left = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(lines, i))
-    cut = joined.withColumn(kept, F.when(F.size(lines) > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
-    stretches = F.size(F.filter(lines, lambda i: ~F.array_contains(lines, i - 1)))
+    own, seen, gone, bad, kept = (fresh(docs, n) for n in ("_id", "_seen", "_gone", "_unequal", "_kept"))
+    found = places(docs, text).select(F.col("doc_id").alias(own), F.col("seen").alias(seen), F.col("gone").alias(gone))
+    # A hash join at every size: places are few beside the texts of a partition, which need no sorting then.
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left")
+    others = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant")) and f.name != text]
+    both = joined.crossJoin(F.broadcast(unequal(joined, text, seen, others).select(F.col("digests").alias(bad))))
+    places_gone = F.coalesce(F.col(gone), F.array().cast("array<int>"))
+
+    def certain(lines: Column) -> Column:
+        return F.filter(places_gone, lambda p: ~F.array_contains(F.col(bad), _digest(F.get(lines, p))))
+
+    # Digests are taken again only where some are known to be shared.
+    lines = let(F.split(F.col(text), "\n"), certain)
+    sure = F.when((F.size(F.col(bad)) == 0) | (F.size(places_gone) == 0), places_gone).otherwise(lines)
+    both = both.withColumn(gone, sure)
+    left = let(F.col(gone), lambda g: F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(g, i)))
+    cut = both.withColumn(kept, F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
+    stretches = F.size(F.filter(F.col(gone), lambda i: ~F.array_contains(F.col(gone), i - 1)))
     return cut.select(
         *(F.col(kept).alias(c) if c == text else F.col(c) for c in docs.columns),
         stretches.cast("long").alias(fresh(docs, "n_removed")),

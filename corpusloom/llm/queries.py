@@ -42,7 +42,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_removed", "removed_chars", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
 
 
