@@ -41,10 +41,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; n_chars follows the text."""
-    left = line_dedup.dedup(docs).select(*docs.columns)
     if "n_chars" not in docs.columns:
-        return left
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return line_dedup.dedup(docs).select(*docs.columns)
+    left = line_dedup.dedup(docs.drop("n_chars"))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
