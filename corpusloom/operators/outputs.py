@@ -29,9 +29,9 @@ def parse_tails(text: str | None) -> tuple[list[str], bool, str | None]:
     if at < 0:
         return [], False, "no_json_object"
     try:
-        found, _ = _DECODER.raw_decode(body, at)
+        found, _ = _DECODER.raw_decode(body[at:])
     except json.JSONDecodeError as e:
-        return [], False, f"invalid_json: {e.msg}"
+        return [], False, f"invalid_json: {e}"
     tails = found.get("tails")
     if not isinstance(tails, list) or not all(isinstance(x, str) for x in tails):
         return [], False, "tails_must_be_a_string_list"

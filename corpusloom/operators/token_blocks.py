@@ -10,6 +10,13 @@ from corpusloom.operators.corpus import number_rows
 
 IGNORED = -100
 
+# The prompt budgets, in tokens.
+COMPLETION_RESERVE = 128
+FRAME_RESERVE = 768
+LEAST_CONTENT = 256
+LEAST_QUERY, MOST_QUERY, QUERY_SHARE = 128, 512, 5
+LEAST_CANDIDATE = 24
+
 
 def blocks(rows: DataFrame, length: int, order: list[str], batch_docs: int | None = None) -> DataFrame:
     """batch, block and tokens: concatenated ``tokens`` cut into blocks of ``length``; what is left over is dropped.
@@ -65,14 +72,14 @@ def pad(rows: DataFrame, pad_id: int, batch: str = "batch_id") -> DataFrame:
     return rows.withColumn("_m", longest).select(*rest, fill("input_ids", pad_id), fill("attention_mask", 0), fill("labels", IGNORED))
 
 
-def prompt_budgets(candidates: Column, max_length: int, reserve: int = 128) -> tuple[Column, Column]:
-    """Token budgets of the query and of each candidate in a compact prompt."""
-    content = max(256, max_length - reserve - 768)
-    query = min(512, max(128, content // 5))
-    each = F.greatest(F.lit(24), F.expr(str(content - query)).cast("int") / F.greatest(F.lit(1), candidates))
-    return F.lit(query), F.floor(each).cast("int")
+def prompt_budgets(candidates: Column, max_length: int) -> tuple[Column, Column]:
+    """Token budgets of the query and of each candidate in a compact prompt, as ``encoding.budgets`` has them."""
+    content = max(LEAST_CONTENT, max_length - COMPLETION_RESERVE - FRAME_RESERVE)
+    query = min(MOST_QUERY, max(LEAST_QUERY, content // QUERY_SHARE))
+    each = F.floor(F.lit(content - query) / F.greatest(F.lit(1), candidates)).cast("int")
+    return F.lit(query), F.greatest(F.lit(LEAST_CANDIDATE), each)
 
 
 def compact_prompt(words: Column, budget: Column) -> Column:
     """The first ``budget`` tokens of a tokenised text, joined again."""
-    return F.array_join(F.slice(words, 1, budget), " ")
+    return F.array_join(F.slice(words, F.lit(1), budget), " ")

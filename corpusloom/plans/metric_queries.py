@@ -274,6 +274,38 @@ def example_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("e.input_ids").alias("length"), F.size(F.filter("e.labels", lambda x: x == token_blocks.IGNORED)).alias("masked"))
 
 
+@query(
+    "compact_prompts",
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+    b AS (SELECT *, greatest(24, 922 // greatest(1, len(w) % 50)) AS each FROM w)
+    SELECT doc_id, CAST(230 AS INTEGER) AS query_budget, CAST(each AS INTEGER) AS candidate_budget, md5(array_to_string(list_slice(w, 1, each), ' ')) AS compact_md5 FROM b""",
+)
+def compact_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as candidates of prompts of 2048 tokens; the number of candidates is made of their length."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    for_query, for_each = token_blocks.prompt_budgets(F.size("w") % 50, 2048)
+    cut = token_blocks.compact_prompt(F.col("w"), for_each)
+    return rows.select("doc_id", for_query.alias("query_budget"), for_each.alias("candidate_budget"), F.md5(cut).alias("compact_md5"))
+
+
+_KEPT = "CAST('0x' || substr(sha256('42:' || {key}), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551615::DOUBLE < 0.25"
+
+
+@query(
+    "kept_records",
+    f"""SELECT d.doc_id, (coalesce(quality = 1, false) OR {_KEPT.format(key="d.doc_id || ':' || coalesce(lang, '')")}) AS keep_pointwise,
+    (coalesce(toxic = 1, false) OR {_KEPT.format(key="d.doc_id")}) AS keep_set FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def kept_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which training records stay: good documents as positives, toxic ones as queries with gold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    uid = F.col("doc_id").cast("string")
+    point = sampling.keep_pointwise(F.coalesce("quality", F.lit(0)), uid, F.coalesce("lang", F.lit("")), 42, 0.25)
+    gold = F.when(F.col("toxic") == 1, F.array(uid)).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", point.alias("keep_pointwise"), sampling.keep_set(gold, uid, 42, 0.25).alias("keep_set"))
+
+
 @query("rerank_pointwise", "SELECT l_orderkey AS query_id, 'P' || l_partkey AS candidate_uid, l_linenumber AS retriever_rank, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, 'P' || l_partkey) AS INTEGER) AS rank FROM lineitem")
 def rerank_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("P"), "l_partkey").alias("candidate_uid"), F.col("l_linenumber").alias("retriever_rank"), F.col("l_discount").alias("probability"))
