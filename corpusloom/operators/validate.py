@@ -96,9 +96,8 @@ def reconcile(identities: DataFrame) -> DataFrame:
     return sums.withColumn("adds_up", F.expr("train = excluded + aliases + documents"))
 
 
-def checksum_differences(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Names of a manifest (name, sha256) that are missing or have another checksum among ``files`` (path, sha256)."""
-    actual = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("_s"))
-    return manifest.join(actual, "name", "left").where("_s is null or _s <> sha256").select("name")
-
-
+def checksum_differences(manifest: DataFrame, files: DataFrame, by: str = "name") -> DataFrame:
+    """Names of a manifest (name, sha256) that are missing or have another checksum among ``files`` (path, sha256); ``by`` path: whole paths."""
+    named = F.col("path") if by == "path" else F.element_at(F.split("path", "/"), -1)
+    actual = files.select(named.alias(by), F.col("sha256").alias("_s"))
+    return manifest.join(actual, by, "left").where("_s is null or _s <> sha256").select(by)

@@ -107,9 +107,9 @@ def check_cutoff(rows: DataFrame, repository: str, cutoff: str) -> None:
         raise ValueError(f"no cutoff {cutoff[:10]} for {repository}")
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and sha256 of whole files."""
-    files = spark.read.format("binaryFile").load(path)
+def checksums(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, length and sha256 of whole files, in all folders below; a file has to be smaller than two gigabytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
