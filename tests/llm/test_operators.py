@@ -57,6 +57,29 @@ def test_quality_ranker_separates_and_survives(spark, edges, nothing):
     assert quality_ranker.score(nothing, quality_ranker.fit(nothing, labels)).count() == 0
 
 
+@pytest.mark.parametrize("most", [250_000, 0])
+def test_quality_ranker_fits_all_pairs(spark, monkeypatch, most):
+    """Scales, weights, cut and spread against all pairs of more labelled rows than the fit once sampled (2,000 of a label)."""
+    monkeypatch.setattr(quality_ranker, "MOST_BROADCAST", most, raising=False)
+    rng = random.Random(11)
+    loud = lambda w, share: w.upper() + "!" if rng.random() < share else w
+    texts = [" ".join(loud(w, share) for w in prose(rng, rng.randint(3, 25)).split()) for share in [0.1] * 2600 + [0.4] * 150]
+    texts[5:25] = [texts[4]] * 20
+    texts[2610:2630] = [None, ""] * 10
+    label = [int(i < 2600) for i in range(len(texts))]
+    docs = documents(spark, [*((i, t, "en", "s", 0) for i, t in enumerate(texts)), (None, "no id", "en", "s", 0), (9000, "no label", "en", "s", 0)])
+    labels = spark.createDataFrame([*enumerate(label), (3, 1), (2700, 0), (9000, None), (9001, 1), (None, 0)], "doc_id long, quality int")
+    model = quality_ranker.fit(docs, labels)
+    x, y = quality_ranker.feature_matrix(texts), np.array(label)
+    assert np.allclose(model.centre, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
+    z, w, s = model.scaled(x), np.array(model.weights), model.raw(x)
+    p = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    slope = (p.sum(0) @ z[y == 0] - p.sum(1) @ z[y == 1]) / p.size + 1e-3 * w
+    assert np.abs(slope).max() < 1e-7
+    assert model.cut == pytest.approx(np.sort(s)[[149, 150]].mean(), abs=1e-9)
+    assert model.spread == pytest.approx(0.25 * (np.median(s[y == 1]) - np.median(s[y == 0])), abs=1e-9)
+
+
 # ---- toxicity -------------------------------------------------------------------------------------------------
 
 
