@@ -2,7 +2,8 @@
 
 STAGES lists (name, function). A function takes (spark, docs, sf_dir) and returns the documents that its
 stage keeps, in the columns of ``docs``; the last returns pieces of packed sequences. Each result is
-written as Parquet and read again as the next stage's documents.
+written as Parquet and read again as the next stage's documents. The stages share one driver, which gives back
+what a stage no longer needs (``released``).
 
 Defined results: rows with a null text go with the language stage (no letter); rows with a null doc_id
 are never taken for duplicates; extra columns pass through; an empty table stays empty.
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language_id, line_dedup, packing, quality_ranker, simhash_similar
-from corpusloom.llm._text import fresh, stored, table
+from corpusloom.llm._text import fresh, released, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents below the cut of the pairwise ranking."""
     model = quality_ranker.fit(docs, table(spark, sf_dir, "labels"))
+    released(spark)
     name = fresh(docs, "quality_score")
     scored = quality_ranker.score(docs, model, tuple(docs.columns), name=name)
     return scored.where(F.col(name) >= 0.5).drop(name)
@@ -31,6 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those between two languages."""
     model = language_id.fit(docs)
+    released(spark)
     if model is None:
         return docs
     prefix = fresh(docs, "lang_pred")[len("lang_pred") :]
@@ -41,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; n_chars follows the text."""
+    released(spark)
     if "n_chars" not in docs.columns:
         return line_dedup.dedup(docs).select(*docs.columns)
     left = line_dedup.dedup(docs.drop("n_chars"))
@@ -54,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, every sequence in the mixture of the sources."""
+    released(spark)
     definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
     return packing.pack(docs, definition)
 

@@ -5,7 +5,8 @@ decoder adds up the logistic loss of every bit against each codeword, weighted b
 did in training, and takes the codeword with the least loss. A second-best codeword that is nearly as
 near makes the answer ambiguous.
 
-The fit uses a bounded sample (``per_class`` documents of each language); prediction reads whole texts.
+The fit uses a bounded sample (``per_class`` documents of each language), whose counts are sent to the driver
+compressed, and makes their vectors there once; prediction reads whole texts.
 Defined results: ``und`` with score 0 for a null text or one without a letter; equal losses go to the
 language that sorts first; a corpus with one language has one codeword and score 1.
 """
@@ -13,6 +14,7 @@ language that sorts first; a corpus with one language has one codeword and score
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,21 +36,30 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def gram_vector(text: str, dim: int = DIM) -> np.ndarray:
-    """Square roots of the counts of hashed byte bi-, tri- and four-grams over letters, at unit length."""
+def gram_counts(text: str, dim: int = DIM) -> np.ndarray:
+    """Counts of hashed byte bi-, tri- and four-grams over letters."""
     b = np.frombuffer(b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(_FOLD).split()) + b" ", np.uint8).astype(np.uint32)
-    total = np.zeros(dim)
+    total = np.zeros(dim, np.int64)
     h = b
     for n in (2, 3, 4):
         if len(h) < 2:
             break
         h = h[:-1] * np.uint32(0x01000193) ^ b[n - 1 :] * np.uint32(0x9E3779B1)
         total += np.bincount((h >> np.uint32(7)) & np.uint32(dim - 1), minlength=dim)
-    root = np.sqrt(total)
+    return total
+
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    """Square roots of the counts, at unit length."""
+    root = np.sqrt(counts)
     norm = np.linalg.norm(root)
     return root / norm if norm else root
 
 
+def gram_vector(text: str, dim: int = DIM) -> np.ndarray:
+    return unit(gram_counts(text, dim))
+
+
 def codewords(classes: int) -> np.ndarray:
     """One row of +1 and -1 per class; all columns differ and none is constant.
 
@@ -120,18 +131,25 @@ def fit(docs: DataFrame, per_class: int = 500) -> LanguageModel | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("language")
         for b in slices(batches):
-            x = [gram_vector(t).astype(np.float32).tobytes() for t in b.column("text").to_pylist()]
+            x = [zlib.compress(gram_counts(t).tobytes(), 1) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(x, pa.binary())], ["lang", "x"])
 
     got = rows.mapInArrow(run, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
-    lang = got.column("lang").to_pylist()
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in got.column("x")])
+    lang, sent = got.column("lang").to_pylist(), got.column("x").to_pylist()
+    del got
+
+    def vector(k: int) -> np.ndarray:
+        return unit(np.frombuffer(zlib.decompress(sent[k]), np.int64)).astype(np.float32)
+
     # The order of rows must not show in the sums.
-    order = sorted(range(len(lang)), key=lambda k: (lang[k], hashlib.blake2b(x[k], digest_size=16).digest()))
+    order = sorted(range(len(lang)), key=lambda k: (lang[k], hashlib.blake2b(vector(k), digest_size=16).digest()))
     languages = tuple(sorted(set(lang)))
-    return fit_codes(x[order], np.array([languages.index(lang[k]) for k in order]), languages)
+    x = np.empty((len(order), DIM), np.float32)
+    for row, k in zip(x, order, strict=True):
+        row[:] = vector(k)
+    return fit_codes(x, np.array([languages.index(lang[k]) for k in order]), languages)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ambiguous_below: float = 0.1, chunk: int = 256, suffix: str = "") -> DataFrame:

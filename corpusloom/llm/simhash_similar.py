@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._text import fresh, held, slices, stored
+from corpusloom.llm._text import fresh, held, released, slices, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import RADIUS, fingerprint, linked, shingle_digests
 
@@ -47,6 +47,13 @@ BLOCK_SHINGLES = 1 << 20
 _ODD = np.random.default_rng(42).integers(1 << 62, size=TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The table, and the driver's memory given back: the plans before it are many and none is needed again."""
+    table = stored(df, name)
+    released(df.sparkSession)
+    return table
+
+
 def sample_fingerprints(digests: np.ndarray) -> np.ndarray:
     """One SimHash per table, of the four shingles that come first in its order; a bit needs three of the four."""
     own = np.unique(digests)
@@ -113,10 +120,10 @@ def _few(ids: DataFrame) -> DataFrame:
 
 def member_sets(crowd: DataFrame, docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     """id and set, stored, of every document of ``crowd`` (doc_id)."""
-    ids = _few(stored(crowd.select(F.col("doc_id").alias("_id")).distinct(), "member-ids"))
+    ids = _few(_stored(crowd.select(F.col("doc_id").alias("_id")).distinct(), "member-ids"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
     # Rows that share a doc_id would multiply the pairs.
-    return stored(_shingle_sets(rows, size).groupBy("id").agg(F.max("set").alias("set")), "shingle-sets")
+    return _stored(_shingle_sets(rows, size).groupBy("id").agg(F.max("set").alias("set")), "shingle-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -142,7 +149,7 @@ def buckets(reps: DataFrame) -> DataFrame:
     own = reps.select("doc_id", "n", "fp")
     sampled = reps.select(F.posexplode("subs").alias("t", "s"), "doc_id", "n")
     distinct = own.select("fp").distinct()
-    classes = stored(linked(distinct), "balls").select(F.col("a").alias("fp"), F.col("b").alias("s"))
+    classes = _stored(linked(distinct), "balls").select(F.col("a").alias("fp"), F.col("b").alias("s"))
     balls = own.join(classes.union(distinct.select("fp", F.col("fp").alias("s"))), "fp")
     return sampled.union(balls.select(F.lit(TABLES).alias("t"), "s", "doc_id", "n"))
 
@@ -229,20 +236,20 @@ def other_blocks(crowd: DataFrame, found: DataFrame) -> DataFrame:
 
 def connected(reps: DataFrame, docs: DataFrame, size: int, similarity: float, text: str = "text") -> DataFrame:
     """node and root of the components of all similar pairs that share a bucket."""
-    crowd = stored(crowds(buckets(reps)), "buckets")
+    crowd = _stored(crowds(buckets(reps)), "buckets")
     sets = member_sets(crowd, docs, size, text)
     edges = verified(small_pairs(crowd, similarity), sets, similarity)
     if crowd.where(f"m > {SMALL}").limit(1).count():
-        found = stored(block_edges(first_blocks(crowd), sets, similarity), "first-blocks")
+        found = _stored(block_edges(first_blocks(crowd), sets, similarity), "first-blocks")
         edges = edges.union(found.select("a", "b")).union(block_edges(other_blocks(crowd, found), sets, similarity).select("a", "b"))
     return components(edges)
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """doc_id and group_id (smallest doc_id of the group) of every document with a doc_id."""
-    marked = stored(sketches(docs, size, text), "sketches")
+    marked = _stored(sketches(docs, size, text), "sketches")
     first = marked.groupBy("content").agg(F.min(F.struct("doc_id", "n", "fp", "subs")).alias("r"))
-    reps = stored(first.select("content", "r.*"), "representatives")
+    reps = _stored(first.select("content", "r.*"), "representatives")
     roots = connected(reps, docs, size, similarity, text)
     of_rep = reps.join(roots, F.col("doc_id") == F.col("node"), "left").select("content", F.coalesce("root", "doc_id").alias("group_id"))
     return marked.join(of_rep, "content").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
@@ -251,5 +258,5 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """``docs`` without the documents that are in a group but not its smallest doc_id."""
     own = fresh(docs, "_id")
-    gone = stored(groups(docs, size, similarity, text).where("doc_id <> group_id").select(F.col("doc_id").alias(own)), "gone-ids")
+    gone = _stored(groups(docs, size, similarity, text).where("doc_id <> group_id").select(F.col("doc_id").alias(own)), "gone-ids")
     return docs.join(_few(gone), docs["doc_id"] == F.col(own), "left_anti")
