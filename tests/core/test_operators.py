@@ -120,6 +120,39 @@ def test_retrieval_against_loop(spark):
         assert [x for _, x, _ in sorted(got.get(f"q{k}", []))] == order
 
 
+def shared_words(n=60):
+    """Issues in few words, so that scores tie, and queries of two kinds for each."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(12)] + ["every"]
+    return [(f"K{rng.randrange(10**6):06d}", f"2020-01-{1 + i // 5:02d} 00:00:00", " ".join({"every", *(rng.choice(words) for _ in range(rng.randrange(6)))})) for i in range(n)]
+
+
+@pytest.mark.parametrize("cap", [None, 20])
+def test_scores_in_many_blocks_against_loop(spark, cap):
+    """With no cap the word that all issues have counts too; blocks of a few issues and queries give what one block gives."""
+    issues, limit = shared_words(), 7
+    of = {k: set(t.split()) for k, _, t in issues}
+    df = {w: sum(w in x for x in of.values()) for x in of.values() for w in x}
+    idf = {w: round(math.log((len(issues) + 1) / (n + 1)) + 1, 9) for w, n in df.items() if cap is None or n <= cap}
+    frame = spark.createDataFrame(issues, "key string, created string, text string").repartition(3)
+    queries = frame.select(F.concat(F.lit("q"), "key").alias("query_id"), "key", "created", F.concat_ws(" ", "text", F.lit("unheard-of")).alias("text"))
+    got = {}
+    for r in retrieval.scored(frame, queries, limit, cap, block_postings=20, block_terms=15).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["key"], float(r["score"])))
+    for k, d, _ in issues:
+        scores = {x: round(sum(idf[w] for w in of[k] & of[x] & idf.keys()), 9) for x, e, _ in issues if e < d and x != k}
+        best = sorted((-s, x) for x, s in scores.items() if s > 0)[:limit]
+        assert sorted(got.get(f"q{k}", [])) == [(i, x, -s) for i, (s, x) in enumerate(best, 1)]
+
+
+def test_blocks_of_retrieval_are_not_shuffled(spark):
+    """Shuffling a copy of each block of issues for each block of queries grows with the square of the input."""
+    frame = spark.createDataFrame(shared_words(), "key string, created string, text string")
+    queries = frame.select(F.concat(F.lit("q"), "key").alias("query_id"), "key", "created", "text")
+    plan = retrieval.scored(frame, queries, 7, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_set_and_ranking_metrics(spark):
     data = [("q1", "r", ["a", "b", "c"], ["a", "x"], ["a", "c", "z"], ["a", "c"], ["a", "b", "c"]), ("q2", "r", [], [], [], [], ["a"])]
     df = spark.createDataFrame(data, "query_id string, repository string, ranked array<string>, predicted array<string>, full_gold array<string>, pool_gold array<string>, candidates array<string>")
