@@ -64,6 +64,29 @@ def test_sanitise(spark):
     assert got[5]["flags"] == ["description_only"] and got[5]["desc_hash"] != ""
 
 
+def test_text_functions_against_python(spark):
+    """All characters, common ones without any others beside them, and random mixtures with combining marks."""
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    common = [chr(c) for a, b in T.COMMON for c in range(a, b)]
+    texts = ["A" + "x ".join(chars[i : i + 128]) + "Σ" for i in range(0, len(chars), 128)]
+    texts += ["Bß".join(common[i : i + 8]) for i in range(0, len(common), 8)] + [f" {c}Q" for c in common if c < "\u3000"]
+    rng, pool = random.Random(1), [*common[:300], *"abcXYZ \t\n\x00\u0301\u1161\u11a8\u3099"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(2000)] + [None, "", " ", "\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.casefold("t").alias("f"), T.clean_whitespace("t").alias("c"), T.has_alphanumeric("t").alias("a")).collect():
+        assert r["f"] == (None if r["t"] is None else r["t"].casefold())
+        assert r["c"] == T._clean(r["t"])
+        assert r["a"] == any(c.isalnum() for c in r["t"] or "")
+
+
+def test_folding_needs_no_python(spark):
+    """Python workers, each with batches of whole texts, were most of an executor's memory."""
+    plan = spark.createDataFrame([("Straße",)], "t string").select(T.casefold("t"), T.has_alphanumeric("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    both = spark.createDataFrame([issue(1, "a", "b")], ISSUE)
+    assert corpus.sanitise(both, [])._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1  # cleans both fields
+
+
 def test_build_reasons_and_conflicts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     data = [
@@ -89,6 +112,25 @@ def test_build_reasons_and_conflicts(spark):
     assert got["R:AB-6"]["source_rows"] == [6, 8]
 
 
+def test_build_decides_without_texts(spark):
+    """Joins and aggregations over identities carry no texts; with them the result is the same."""
+    rng = random.Random(3)
+    data = [issue(i, f"title {rng.randrange(15)} of some words", " ".join(f"w{rng.randrange(3)}" for _ in range(55)), created=f"2020-01-01 00:{i:02d}:00") for i in range(50)]
+    data += [issue(60, "title 1 of some words", "one", key="AB-7"), issue(61, None, None)]
+    df = spark.createDataFrame(data, ISSUE)
+    member = lambda rest: df.where(F.col("source_row") % 5 == rest).select("key", "source_id", "created")
+    made = [corpus.build(df, member(1).union(member(2)).union(member(3)), member(0), "R", "seed", 10, 3, texts=t) for t in (True, False)]
+    assert not {"title", "description", "text"} & set(made[1].columns)
+    assert rows(made[0], *made[1].columns) == rows(made[1], *made[1].columns) and made[0].count() == 51
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Aggregate [" in x and "title#" in x]
+    for r in made[0].where("text_hash <> ''").select(T.casefold("text").alias("f"), "text_hash", "title", "source_rows").collect():
+        import hashlib
+
+        assert hashlib.sha256(r["f"].encode()).hexdigest() == r["text_hash"]
+        assert r["title"] == next(d[3] for d in data if d[0] == r["source_rows"][0])
+
+
 def test_number_rows_is_dense(spark):
     df = spark.createDataFrame([(i % 3, random.Random(i).random(), i) for i in range(500)], "g int, x double, i int")
     got = corpus.number_rows(df, ["g"], ["x", "i"], "n", 7).collect()
