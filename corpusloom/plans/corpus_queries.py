@@ -11,15 +11,15 @@ from corpusloom.functions.numeric import lax_timestamp, strict_timestamp
 from corpusloom.operators import audit, corpus, validate
 from corpusloom.plans import binding as B
 from corpusloom.plans.registry import query
-from corpusloom.tables import cut, table
+from corpusloom.tables import stored, table
 
 
-def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.build(B.rows(spark, sf_dir), *B.membership(spark, sf_dir), B.REPOSITORY, B.SEED)
+def built(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    return corpus.build(B.rows(spark, sf_dir), *B.membership(spark, sf_dir), B.REPOSITORY, B.SEED, texts=texts)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir).where("is_representative")
+def documents(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    return built(spark, sf_dir, texts).where("is_representative")
 
 
 @query(
@@ -72,7 +72,7 @@ def doc_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH" + B.BUILT_SQL + r" SELECT split, count(*) AS documents, CAST(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS words, count(DISTINCT group_hash) AS groups FROM built WHERE is_representative GROUP BY split",
 )
 def doc_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).groupBy("split").agg(F.count("*").alias("documents"), F.sum(T.word_count(F.col("text")).cast("long")).alias("words"), F.count_distinct("group_hash").alias("groups"))
+    return documents(spark, sf_dir, True).groupBy("split").agg(F.count("*").alias("documents"), F.sum(T.word_count(F.col("text")).cast("long")).alias("words"), F.count_distinct("group_hash").alias("groups"))
 
 
 @query("doc_composition", "WITH" + B.BUILT_SQL + " SELECT split, project, count(*) AS n FROM built WHERE is_representative GROUP BY ALL")
@@ -142,8 +142,8 @@ def corpus_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Documents, provenance, ledger, canonical rows, and the held-out hashes of texts and descriptions."""
-    identities = cut(built(spark, sf_dir))  # a dozen checks read them
-    placed = cut(corpus.shards(identities.where("is_representative"), SHARD))
+    identities = stored(built(spark, sf_dir, True).drop("title", "description"), "identities")  # a dozen checks read them
+    placed = stored(corpus.shards(identities.where("is_representative"), SHARD), "placed")
     aliases = identities.where("reason is null and not is_representative").groupBy("representative_uid").agg(F.array_sort(F.collect_list("uid")).alias("_a"))
     full = placed.drop("representative_uid").join(aliases, placed["uid"] == aliases["representative_uid"], "left")
     provenance = full.select(F.col("uid").alias("issue_uid"), "text_hash", "group_hash", "split", "shard", "row_index", F.coalesce("_a", F.array().cast("array<string>")).alias("dedup_aliases"))
