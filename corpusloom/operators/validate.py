@@ -25,17 +25,18 @@ def violations(documents: DataFrame, provenance: DataFrame, ledger: DataFrame, c
     place = F.concat_ws("/", *PLACE).alias("place")
     many = lambda df, c: item(df.groupBy(c).agg(F.count("*").alias("n")).where("n > 1"), c)
     pair = documents.withColumn("_d", F.lit(1)).join(provenance.withColumn("_p", F.lit(1)), PLACE, "full")
-    text = documents.join(provenance, PLACE)
+    # Digests stand for texts, which are not shuffled.
     digest = sha256(T.casefold("text"))
+    text = documents.select(*PLACE, digest.alias("_digest")).join(provenance, PLACE)
     uids = provenance.select("issue_uid", "group_hash", "split", "text_hash").unionByName(provenance.select(F.explode("dedup_aliases").alias("issue_uid"), "group_hash", "split", "text_hash"))
-    known = uids.join(canonical.select(F.col("uid").alias("issue_uid"), "membership", "reason", "created", F.col("text_hash").alias("_h"), F.col("split").alias("_s"), "desc_hash", F.col("text").alias("_t")), "issue_uid", "left")
+    known = uids.join(canonical.select(F.col("uid").alias("issue_uid"), "membership", "reason", "created", F.col("text_hash").alias("_h"), F.col("split").alias("_s"), "desc_hash"), "issue_uid", "left")
     shard = documents.groupBy("split", "shard").agg(F.min("row_index").alias("a"), F.max("row_index").alias("b"), F.count_distinct("row_index").alias("n"), F.count("*").alias("m"))
-    first = text.join(canonical.select(F.col("uid").alias("issue_uid"), F.col("text").alias("_t")), "issue_uid", "left")
+    first = text.join(canonical.select(F.col("uid").alias("issue_uid"), digest.alias("_t")), "issue_uid", "left")
     found = {
         "ledger_uid_unique": many(ledger, "issue_uid"),
         "rows_align": item(pair.where("_d is null or _p is null").select(place), "place"),
         "text_not_empty": item(documents.where("text is null or text = ''").select(place), "place"),
-        "text_hash_right": item(text.where(digest != F.col("text_hash")).select(place), "place"),
+        "text_hash_right": item(text.where(F.col("_digest") != F.col("text_hash")).select(place), "place"),
         "text_hash_unique": many(provenance, "text_hash"),
         "row_index_dense": item(shard.where("a <> 0 or b <> n - 1 or n <> m").select(F.concat_ws("/", "split", "shard").alias("place")), "place"),
         "split_right": item(provenance.where(group_split(F.col("group_hash"), seed, buckets, validation) != F.col("split")), "issue_uid"),
@@ -44,7 +45,7 @@ def violations(documents: DataFrame, provenance: DataFrame, ledger: DataFrame, c
         "canonical_train": item(known.where("membership is null or membership <> 'train' or reason is not null or _s <> split"), "issue_uid"),
         "before_cutoff": item(known.where(F.col("created") > cutoff), "issue_uid"),
         "canonical_hash": item(known.where("_h <> text_hash"), "issue_uid"),
-        "canonical_text": item(first.where((F.col("_t") != F.col("text")) & (T.casefold("_t") != T.casefold("text"))), "issue_uid"),
+        "canonical_text": item(first.where(F.col("_t") != F.col("_digest")), "issue_uid"),
         "description_in_one_split": item(known.where("desc_hash <> ''").groupBy("desc_hash").agg(F.count_distinct("split").alias("n")).where("n > 1"), "desc_hash"),
         "ledger_matches": item(uids.select("issue_uid", "text_hash", "group_hash").exceptAll(ledger.select("issue_uid", "text_hash", "group_hash")).union(ledger.select("issue_uid", "text_hash", "group_hash").exceptAll(uids.select("issue_uid", "text_hash", "group_hash"))), "issue_uid"),
         "no_heldout_text": item(provenance.join(heldout_texts, "text_hash", "left_semi"), "issue_uid"),
