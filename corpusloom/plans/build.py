@@ -201,7 +201,9 @@ def build_records(spark: SparkSession, raw: dict[str, str], target: str, reposit
     plain = lambda df: df.withColumn("query_id", F.substring_index("query_id", "\x1f", 1))
     sets = plain(records.set_records(queries, ranked, gold, issues, repository))
     points = plain(records.pointwise_records(queries, ranked, gold, issues))
-    coverage = cut(records.coverage(queries, ranked, gold).join(records.made(groups, issues, sets, points), "split", "full").na.fill(0))
+    # The records are counted by what they are made of, without their texts.
+    pairs = ranked.join(issues.select("key"), "key", "left_semi").join(queries.select("query_id", "split"), "query_id")
+    coverage = cut(records.coverage(queries, ranked, gold).join(records.made(groups, issues, queries, pairs), "split", "full").na.fill(0))
     parts = {
         "set_retrieval": lambda path: sets.write.partitionBy("split").json(path),
         "pointwise": lambda path: points.write.partitionBy("split").json(path),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.hashing import digest_mod, in_shard, sha256, stable_fraction
 from corpusloom.functions.numeric import lax_timestamp, repository_of, softmax_pair, strict_timestamp
-from corpusloom.operators import corpus, metrics, outputs, retrieval, sampling, sinks, token_blocks, validate
+from corpusloom.operators import corpus, metrics, outputs, records, retrieval, sampling, sinks, token_blocks, validate
 from corpusloom.sources import delimited, json_lines
 
 
@@ -195,6 +195,32 @@ def test_blocks_of_retrieval_are_not_shuffled(spark):
     assert "CartesianProduct" in plan and "Exchange" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_pools_in_many_blocks(spark):
+    """Texts go to the records of all blocks; of the plan's exchanges none carries them."""
+    rng = random.Random(2)
+    issues = {f"K{i}": None if i == 7 else f"text {i} é" * rng.randrange(1, 4) for i in range(12)}
+    frame = spark.createDataFrame([(k, f"u:{k}", t) for k, t in issues.items()], "key string, uid string, text string")
+    queries = spark.createDataFrame([(f"q{i}", f"K{i % 12}", "train") for i in range(30)], "query_id string, key string, split string")
+    lists = {f"q{i}": rng.sample([*issues, "gone"], rng.randrange(5)) for i in range(30)}
+    ranked = spark.createDataFrame([(q, k, 1.5, r) for q, ks in lists.items() for r, k in enumerate(ks, 1)], "query_id string, key string, score double, rank int")
+    right = {(q, k) for q, ks in lists.items() for k in ks[:1]}
+    gold = spark.createDataFrame([*right, ("q1", "K11")], "query_id string, key string")
+    made = records.pools(queries, ranked, gold, frame, block_rows=4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {r["query_id"]: r for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == lists.keys()
+    for i, (q, ks) in enumerate(lists.items()):
+        want = [(f"C{r:03d}", f"u:{k}", k, issues[k], r, (q, k) in right) for r, k in enumerate(ks, 1) if k in issues]
+        c = [(*(p["candidate"][n] for n in ("label", "issue_uid", "issue_key", "text", "rank")), p["is_gold"]) for p in got[q]["_p"]]
+        assert [x[:5] for x in c] == [x[:5] for x in want] and got[q]["body"] == issues[f"K{i % 12}"]
+        assert [x[5] for x in c] == [x[5] or (q, x[2]) == ("q1", "K11") for x in want]
+
+
 def test_set_and_ranking_metrics(spark):
     data = [("q1", "r", ["a", "b", "c"], ["a", "x"], ["a", "c", "z"], ["a", "c"], ["a", "b", "c"]), ("q2", "r", [], [], [], [], ["a"])]
     df = spark.createDataFrame(data, "query_id string, repository string, ranked array<string>, predicted array<string>, full_gold array<string>, pool_gold array<string>, candidates array<string>")
